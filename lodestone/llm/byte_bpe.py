@@ -6,6 +6,7 @@ import base64
 import hashlib
 import os
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -115,9 +116,15 @@ class ByteBpe:
         return char[ends - sizes], char[ends - 1] + 1
 
 
+@cache
+def byte_bpe(ranks_path: str, pattern: str) -> ByteBpe:
+    """One for each Python worker: Spark reuses workers, so the memo outlives tasks."""
+    return ByteBpe(ranks_path, pattern)
+
+
 def _coded(df: DataFrame, columns: dict[str, pa.DataType], schema: str, one: Callable, ranks_path: str, pattern: str, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe(ranks_path, pattern)
+        bpe = byte_bpe(ranks_path, pattern)
         for rows in slices(batches, ["doc_id", "text"]):
             coded = bpe.encode([(t or b"").decode("utf-8", "replace") for _, t in rows])
             made = [one(bpe, doc_id, np.frombuffer(raw, "<u4")) for (doc_id, _), raw in zip(rows, coded)]
@@ -155,7 +162,7 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     """``(doc_id, raw)``: the bytes of each array of ids; null ids give null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe(ranks_path, pattern)
+        bpe = byte_bpe(ranks_path, pattern)
         for batch in batches:
             raw = [None if ids is None else bpe.decode(np.array(ids, "i8")) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], ["doc_id", "raw"])

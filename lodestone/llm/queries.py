@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.byte_bpe import round_trip
 from lodestone.llm.divergence import quality
+from lodestone.llm.exact_topk import search
+from lodestone.llm.fuzzy_lines import dedup_report
 from lodestone.llm.hilbert import hilbert_shards
+from lodestone.llm.html_text import extract
 from lodestone.llm.mixing import mixed_sizes
+from lodestone.llm.secret_scan import scan
+from lodestone.llm.simhash import components
 from lodestone.llm.token_store import read_digests, write_store
 from lodestone.scratch import scratch_path
 
@@ -55,9 +60,41 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_sizes(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
-QUERIES = {"op1_hilbert_shards": op1_hilbert_shards, "op2_divergence": op2_divergence, "op3_token_store": op3_token_store, "op4_byte_bpe": op4_byte_bpe, "op6_mix": op6_mix}
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_hilbert_shards": op1_hilbert_shards,
+    "op2_divergence": op2_divergence,
+    "op3_token_store": op3_token_store,
+    "op4_byte_bpe": op4_byte_bpe,
+    "op5_simhash": op5_simhash,
+    "op6_mix": op6_mix,
+    "op7_secrets": op7_secrets,
+    "op8_exact_topk": op8_exact_topk,
+    "op9_html_text": op9_html_text,
+    "op10_fuzzy_lines": op10_fuzzy_lines,
+}
 ORACLES: dict[str, str] = {}

@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 from itertools import islice
 
 import numpy as np
@@ -38,41 +40,66 @@ NODE_BITS, FAN_BITS = 16, 8
 ENCODED = "doc_id long, n_tokens long, digests array<binary>, lens array<int>, payloads array<binary>"
 
 
+#: Words that the splitter parts into one run of letters and one of sentence marks, and that lower-case letter by letter.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+
+
+class Memo(dict):
+    """Little-endian 32-bit ids of words (UTF-8), worked out when first asked for."""
+
+    def __init__(self, encoder: WordEncoder):
+        self.encoder = encoder
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        found = self[word] = self.encoder.word(word)
+        return found
+
+
 class WordEncoder:
     """Encodes white-space separated words with the tokenizers library, each distinct word once per memo.
 
     The vocabulary's normalizer and splitter never join ids across ASCII white space, so
-    the ids of a text are those of its words in order.
+    the ids of a text are those of its words in order.  Plain words go on to the
+    library's BPE model as the runs they are split into, each distinct run once; any
+    other word goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        from lodestone.llm.byte_bpe import byte_table
+
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[bytes, bytes] = {}
-
-    def learn(self, missing: list[bytes]) -> None:
-        if len(self.memo) + len(missing) > MEMO_WORDS:
-            self.memo.clear()
-        for at in range(0, len(missing), 512):
-            some = missing[at : at + 512]
-            out = self.tokenizer.encode([w.decode("utf-8", "replace") for w in some], is_pretokenized=True, add_special_tokens=False)
-            found: dict[int, list[int]] = {}
-            for k, i in zip(out.word_ids, out.ids):
-                found.setdefault(k, []).append(i)
-            self.memo.update((w, np.array(found.get(k, ()), "<u4").tobytes()) for k, w in enumerate(some))
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text (UTF-8)."""
-        split = [t.split() for t in texts]
-        need = set().union(*split)
-        missing = [w for w in need if w not in self.memo]
-        if len(self.memo) + len(missing) > MEMO_WORDS:
-            self.memo.clear()
-            missing = list(need)
-        self.learn(missing)
-        return [b"".join(map(self.memo.__getitem__, ws)) for ws in split]
+        self.model = self.tokenizer.model
+        self.chars = byte_table()
+        self.memo, self.runs = Memo(self), {}
+
+    def run(self, run: str) -> bytes:
+        if (found := self.runs.get(run)) is None:
+            if len(self.runs) >= MEMO_WORDS:
+                self.runs.clear()
+            spelled = run if run.isascii() else "".join(map(self.chars.__getitem__, run.encode()))
+            found = self.runs[run] = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
+        return found
+
+    def word(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        if plain := PLAIN.fullmatch(text):
+            return self.run(plain[1].lower()) + (self.run(plain[2]) if plain[2] else b"")
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def encode(self, text: bytes) -> bytes:
+        """Little-endian 32-bit ids of a text (UTF-8)."""
+        return b"".join(map(self.memo.__getitem__, text.split()))
+
+
+@cache
+def word_encoder(path: str) -> WordEncoder:
+    """One for each Python worker: Spark reuses workers, so memos outlive tasks."""
+    return WordEncoder(path)
 
 
 def chunk_ends(ids: np.ndarray) -> list[int]:
@@ -126,12 +153,12 @@ def encoded(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_
     """One row a document with its chunks (see ENCODED).  A null text is empty and has the end id alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = WordEncoder(tokenizer_path), zstandard.ZstdCompressor(level=3)
+        encoder, packer = word_encoder(tokenizer_path), zstandard.ZstdCompressor(level=3)
         end = np.array([end_id], "<u4").tobytes()
         for rows in slices(batches, ["doc_id", "text"]):
             out: list[list] = [[], [], [], [], []]
-            for (doc_id, _), raw in zip(rows, encoder.encode([t or b"" for _, t in rows])):
-                ids = np.frombuffer(raw + end, "<u4")
+            for doc_id, text in rows:
+                ids = np.frombuffer(encoder.encode(text or b"") + end, "<u4")
                 ends = chunk_ends(ids)
                 parts = [ids[a:b].astype("<u2" if int(ids[a:b].max()) < 65536 else "<u4") for a, b in zip([0, *ends], ends)]
                 raws = [p.tobytes() for p in parts]
