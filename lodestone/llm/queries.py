@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm import oracles
 from lodestone.llm.byte_bpe import round_trip
 from lodestone.llm.divergence import quality
 from lodestone.llm.exact_topk import search
@@ -97,4 +98,4 @@ QUERIES = {
     "op9_html_text": op9_html_text,
     "op10_fuzzy_lines": op10_fuzzy_lines,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_divergence": oracles.op2(), "op6_mix": oracles.op6(), "op8_exact_topk": oracles.op8()}
