@@ -53,6 +53,11 @@ def widened(a: np.ndarray, dims: int) -> np.ndarray:
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     dims = max(a.shape[1], b.shape[1])
     a, b = widened(a, dims), widened(b, dims)
+    with np.errstate(over="ignore", invalid="ignore"):  # beyond doubles the bound is void, and search() then evaluates
+        return _roots(a, b)
+
+
+def _roots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0))
 
 
