@@ -83,12 +83,12 @@ def _nodes(plan):
 
 
 def _relations(plan) -> set[str]:
-    return set(re.findall(r"'UnresolvedRelation \[([^\]]*)\]", plan.treeString()).__iter__()) and {
-        x.replace(", ", ".") for x in re.findall(r"'UnresolvedRelation \[([^\]]*)\]", plan.treeString())
-    }
+    """Names of the tables that a parsed statement reads."""
+    return {x.replace(", ", ".") for x in re.findall(r"'UnresolvedRelation \[([^\]]*)\]", plan.treeString())}
 
 
 def _ctes(plan) -> set[str]:
+    """Names that a parsed statement defines by WITH."""
     return {x.strip() for group in re.findall(r"CTE \[([^\]]*)\]", plan.treeString()) for x in group.split(",")}
 
 
