@@ -17,7 +17,7 @@ import hashlib
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import islice
 
@@ -40,20 +40,25 @@ NODE_BITS, FAN_BITS = 16, 8
 ENCODED = "doc_id long, n_tokens long, digests array<binary>, lens array<int>, payloads array<binary>"
 
 
-#: Words that the splitter parts into one run of letters and one of sentence marks, and that lower-case letter by letter.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+#: Words of ASCII and Latin letters without apostrophes: the splitter parts them as RUNS does, and they lower-case letter by letter.
+PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+")
+RUNS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^A-Za-z0-9À-ÖØ-öø-ÿ]+")
 
 
 class Memo(dict):
-    """Little-endian 32-bit ids of words (UTF-8), worked out when first asked for."""
+    """Values worked out when first asked for.  A full memo becomes the old one, and what is asked for again moves over."""
 
-    def __init__(self, encoder: WordEncoder):
-        self.encoder = encoder
+    def __init__(self, work: Callable):
+        self.work, self.old = work, {}
 
-    def __missing__(self, word: bytes) -> bytes:
+    def __missing__(self, key):
         if len(self) >= MEMO_WORDS:
+            self.old = dict(self)
             self.clear()
-        found = self[word] = self.encoder.word(word)
+        found = self.old.get(key)
+        if found is None:
+            found = self.work(key)
+        self[key] = found
         return found
 
 
@@ -75,20 +80,16 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.chars = byte_table()
-        self.memo, self.runs = Memo(self), {}
+        self.memo, self.runs = Memo(self.word), Memo(self.run)
 
     def run(self, run: str) -> bytes:
-        if (found := self.runs.get(run)) is None:
-            if len(self.runs) >= MEMO_WORDS:
-                self.runs.clear()
-            spelled = run if run.isascii() else "".join(map(self.chars.__getitem__, run.encode()))
-            found = self.runs[run] = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
-        return found
+        spelled = run if run.isascii() else "".join(map(self.chars.__getitem__, run.encode()))
+        return np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
 
     def word(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
-        if plain := PLAIN.fullmatch(text):
-            return self.run(plain[1].lower()) + (self.run(plain[2]) if plain[2] else b"")
+        if PLAIN.fullmatch(text) and "<|" not in text:
+            return b"".join(map(self.runs.__getitem__, RUNS.findall(text.lower())))
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: bytes) -> bytes:
