@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.token_store import slices
+from lodestone.scratch import materialize
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>"
@@ -215,12 +216,13 @@ def host_paths(pages: DataFrame) -> DataFrame:
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``(page_id, url, text, n_chars)`` for every row; text is empty if there is none.
 
-    Null html is empty and null urls share a host.  The winners are a row for each host;
-    where they are too many to broadcast, adaptive execution splits a hot host's pages.
+    Null html is empty and null urls share a host.  The winners are a row for each host and
+    cut as a table first, so the planner knows their size: within its threshold they are
+    broadcast and no page moves; beyond it, adaptive execution splits a hot host's pages.
     Repeated rows vote again; extra columns are left alone.
     """
     pages = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    winners = host_paths(pages).withColumnRenamed("host", "__host")
+    winners = materialize(host_paths(pages).withColumnRenamed("host", "__host"), "winners")
     joined = pages.join(winners, pages["host"] == winners["__host"], "left").select("page_id", "url", "winners", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
