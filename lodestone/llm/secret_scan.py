@@ -35,13 +35,17 @@ SENSITIVE = {
 }
 NEEDED = 4
 MIN_LITERAL = 8
-PLACEHOLDER = re.compile(r"(?i)(change.?me|example|placeholder|your[_-]|xxxx|\*\*\*\*|<.*>|\$\{|%\(|dummy|todo)")
-
-_STRING = r'''"(?:[^"\\\n]|\\.){0,4096}+"|'(?:[^'\\\n]|\\.){0,4096}+\''''
-_NAME = r"[A-Za-z_$][A-Za-z0-9_$.\-]{0,127}+"
+#: How often a name's literals count in one value, should names repeat each other.
+REPEATS = 64
+PLACEHOLDER = re.compile(r"(?i)(change.?me|example|placeholder|your[_-]|xxxx|\*\*\*\*|\$\{|%\(|dummy|todo)")
+
+# No length is limited: possessive repeats never go back, and a name of any length starts only where a run of its characters does.
+_STRING = r'''"(?:[^"\\\n]++|\\.)*+"|'(?:[^'\\\n]++|\\.)*+\''''
+_NAME = r"[A-Za-z_$][A-Za-z0-9_$.\-]*+"
+_BARE_NAME = rf"(?<![A-Za-z0-9_$.\-]){_NAME}|[A-Za-z_$][A-Za-z0-9_$.\-]{{0,127}}+"
 PAIR = re.compile(
-    rf"""(?P<target>(?:"{_NAME}"|'{_NAME}'|{_NAME}))(?:\[["'](?P<key>{_NAME})["']\])?[\x20\t]*(?::=|=>|=(?![=>])|:(?!=))[\x20\t]*"""
-    rf"""(?P<value>(?:{_STRING}|[A-Za-z0-9_$+/=.\-]{{1,512}})(?:[\x20\t]*\+[\x20\t]*(?:{_STRING}|{_NAME}))*+)"""
+    rf"""(?P<target>(?:"{_NAME}"|'{_NAME}'|{_BARE_NAME}))(?:\[["'](?P<key>{_NAME})["']\])?[\x20\t]*(?::=|=>|=(?![=>])|:(?!=))[\x20\t]*"""
+    rf"""(?P<value>(?:{_STRING}|[A-Za-z0-9_$+/=.\-]++)(?:[\x20\t]*\+[\x20\t]*(?:{_STRING}|{_NAME}))*+)"""
 )
 TERM = re.compile(rf"(?P<string>{_STRING})|(?P<bare>[A-Za-z0-9_$/=.\-]+(?:\+[A-Za-z0-9_$/=.\-]+)*)")
 
@@ -63,7 +67,7 @@ def weight(name: str) -> int:
 
 def looks(value: str) -> int:
     """How much a literal looks like a credential: mixed character classes, entropy, no words of a placeholder."""
-    if len(value) < MIN_LITERAL or len(set(value)) < 5 or re.search(r"\s", value) or PLACEHOLDER.search(value):
+    if len(value) < MIN_LITERAL or len(set(value)) < 5 or re.search(r"\s", value) or PLACEHOLDER.search(value) or 0 <= value.find("<") < value.rfind(">"):
         return -9
     kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
     n = len(value)
@@ -84,20 +88,35 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, int, int, str]]]]:
         yield target, terms
 
 
+def leaves(parts: list) -> list[tuple[int, int, str]]:
+    """The literals of ``parts``, in order: (start, end, value), or lists of parts that names stand for.
+
+    Every list is opened, but no more than REPEATS times, so all literals are there and
+    names that double each other cost no more than that many times their number.
+    """
+    found, opened, left = [], Counter(), parts[::-1]
+    while left:
+        part = left.pop()
+        if isinstance(part, tuple):
+            found.append(part)
+        elif opened[id(part)] < REPEATS:
+            opened[id(part)] += 1
+            left += part[::-1]
+    return found
+
+
 def literal_spans(text: str, low: str) -> list[tuple[int, int, str]]:
     if not any(w in low for w in SENSITIVE):
         return []
-    known: dict[str, list[tuple[int, int, str]]] = {}
+    known: dict[str, list] = {}
     found = set()
     for target, terms in pairs(text):
         # constants stand for the literals they were last given; unknown names and bare values for themselves
-        parts: list[tuple[int, int, str]] = []
-        for kind, start, end, value in terms:
-            parts += known[value] if kind == "bare" and value in known else [(start, end, value)]
-        parts = parts[:64]
-        known[target] = parts
-        if (w := weight(target)) and w + looks("".join(p[2] for p in parts)) >= NEEDED:
-            found.update((s, e, "literal") for s, e, v in parts if e > s)
+        known[target] = [known[value] if kind == "bare" and value in known else (start, end, value) for kind, start, end, value in terms]
+        if w := weight(target):
+            parts = leaves(known[target])
+            if w + looks("".join(p[2] for p in parts)) >= NEEDED:
+                found.update((s, e, "literal") for s, e, v in parts if e > s)
     return sorted(found)
 
 
