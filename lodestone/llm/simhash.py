@@ -51,14 +51,15 @@ def fingerprint(raw: bytes) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp)``: the fingerprint as a signed long.  A null text has no words."""
+    """``(doc_id, row, fp)``: a hash of the text and the fingerprint, as signed longs.  A null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in slices(batches, ["doc_id", "text"]):
+            own = np.array([xxhash.xxh64_intdigest(t or b"", 42) for _, t in rows], np.uint64).view(np.int64)  # as xxhash64 has it
             fps = np.array([fingerprint(t or b"") for _, t in rows], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), pa.array(own), pa.array(fps)], ["doc_id", "row", "fp"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, row long, fp long")
 
 
 def grid_points(fp: Column, segments: int) -> Column:
@@ -109,6 +110,17 @@ def links(distinct: DataFrame) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
+def _rooted(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(doc_id, row, fp, root, component_id)`` for every row; ``root`` tells components apart, even those without an id."""
+    own = materialize(fingerprints(df, id_col, text_col), "fingerprints")
+    distinct = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    found = connected_components(links(distinct.select("fp")), "a", "b", "root")
+    rooted = distinct.join(found, distinct["fp"] == found["vertex"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = rooted.join(least, "root").select("fp", "root", "component_id")
+    return own.join(named, "fp").select("doc_id", "row", "fp", "root", "component_id")
+
+
 def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, fp, component_id)`` for every row; the component is its smallest doc_id.
 
@@ -116,17 +128,17 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     paired.  Texts without words share the fingerprint 0.  A null doc_id is a member like
     any other but never the smallest, unless all are null.  Repeated rows are kept.
     """
-    own = materialize(fingerprints(df, id_col, text_col), "fingerprints")
-    distinct = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    found = connected_components(links(distinct.select("fp")), "a", "b", "root")
-    rooted = distinct.join(found, distinct["fp"] == found["vertex"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return own.join(named, "fp").select("doc_id", "fp", "component_id")
+    return _rooted(df, id_col, text_col).select("doc_id", "fp", "component_id")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` whose document is the smallest of its component, one row for each."""
-    found = components(df, id_col, text_col)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return df.join(kept, df[id_col].eqNullSafe(kept["__id"]), "left_semi").dropDuplicates([id_col])
+    """The rows of ``df`` whose document is the first of its component by id (null last) and text hash, one row for each.
+
+    Rows of one id, or of none, with different texts are different documents.
+    """
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    first = _rooted(df, id_col, text_col).groupBy("root").agg(F.min(place).alias("first"))
+    kept = first.select(F.col("first.doc_id").alias("__id"), F.col("first.row").alias("__row"))
+    keyed = df.withColumn("__hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    same = keyed[id_col].eqNullSafe(kept["__id"]) & (keyed["__hash"] == kept["__row"])
+    return keyed.join(kept, same, "left_semi").dropDuplicates([id_col, "__hash"]).select(*df.columns)
