@@ -336,6 +336,19 @@ def q_reach_pairs(spark, d):
     return graph.reach_pairs(edges(spark, d).where("(src * 7 + dst) % 23 = 0"), 3)
 
 
+# The walks over all edges.  The two above stay as the SQL that they are held against: over one edge in 23.
+
+
+@registered("")
+def q_reach_whole(spark, d):
+    return graph.reach(edges(spark, d), spark.createDataFrame([(8,)], "node long"), 6)
+
+
+@registered("")
+def q_reach_pairs_whole(spark, d):
+    return graph.reach_pairs(edges(spark, d), 3)
+
+
 # --- text -----------------------------------------------------------------------------------
 
 

@@ -26,3 +26,19 @@ def test_findings_of_all_events(spark, tmp_path):
     rank = lambda v: 4 if v < 5 else 3 if v < 15 else 2 if v < 40 else 1
     want = [r[0] for r in sorted(rows, key=lambda r: (rank(r[4]), r[3], f"u{r[1]}", r[0]))][:100]
     assert [r["ord"] for r in sorted(registered.q_findings_sort_whole(spark, d).collect(), key=lambda r: r["place"])] == want
+
+
+def test_walks_over_all_edges(spark, tmp_path, monkeypatch):
+    pairs = [(8, 9), (9, 10), (10, 11), (11, 12), (12, 13), (13, 14), (14, 15), (15, 16), (10, 8), (20, 21), (21, 20), (12, 20)]
+    monkeypatch.setattr(registered, "edges", lambda spark, d: spark.createDataFrame(pairs, "src long, dst long"))
+
+    def depths(origin, most):
+        found = {origin: 0}
+        for k in range(1, most + 1):
+            for b in {b for a, b in pairs if found.get(a) == k - 1} - set(found):
+                found[b] = k
+        return found
+
+    assert {r["node"]: r["depth"] for r in registered.q_reach_whole(spark, "").collect()} == depths(8, 6)
+    got = {(r["origin"], r["node"]): r["depth"] for r in registered.q_reach_pairs_whole(spark, "").collect()}
+    assert got == {(a, b): k for a in {a for a, _ in pairs} for b, k in depths(a, 3).items() if b != a}
