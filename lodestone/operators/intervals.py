@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.scratch import materialize
+
 
 def innermost(points: DataFrame, spans: DataFrame, by: str, at: str, point_id: str, start: str = "start", end: str = "end", span_id: str = "span_id") -> DataFrame:
     """``points`` with ``span_id`` of the innermost span of the same ``by`` that holds the point, ends included.
@@ -31,26 +33,23 @@ def parents(spans: DataFrame, by: str, span_id: str, start: str = "start", end:
     return spans.join(best, F.col(span_id) == F.col("__child"), "left").drop("__child")
 
 
-def qualified_names(tree: DataFrame, id_col: str, parent_col: str, name_col: str, separator: Column | str, depth: int = 64) -> DataFrame:
-    """``(id, qualified_name)``: names from the root down, by pointer doubling, so log(depth) joins.
+def qualified_names(tree: DataFrame, id_col: str, parent_col: str, name_col: str, separator: Column | str) -> DataFrame:
+    """``(id, qualified_name)``: names from the root down, by pointer doubling, so log(depth) joins at any depth.
 
-    A row that is its own parent is a root, so a self-loop can't spin.
+    A row that is its own parent is a root.  Rows on a longer cycle, or below one, have no
+    root and so no name: null.  They are told by a round that leaves as many rows open.
     """
     sep = F.lit(separator) if isinstance(separator, str) else separator
     now = tree.select(F.col(id_col).alias("id"), F.when(F.col(parent_col) != F.col(id_col), F.col(parent_col)).alias("up"), F.col(name_col).alias("name"), sep.alias("sep"))
-    step = 1
-    while step < depth:
+    before = None
+    while True:
         above = now.select(F.col("id").alias("__id"), F.col("up").alias("__up"), F.col("name").alias("__name"))
         joined = now.join(above, F.col("up") == F.col("__id"), "left")
-        now = joined.select("id", F.col("__up").alias("up"), F.when(F.col("__id").isNull(), F.col("name")).otherwise(F.concat("__name", "sep", "name")).alias("name"), "sep")
-        step *= 2
-        if step >= 4:
-            from lodestone.scratch import materialize
-
-            now = materialize(now, "names")
-            if not now.where(F.col("up").isNotNull()).limit(1).count():
-                break
-    return now.select("id", F.col("name").alias("qualified_name"))
+        now = materialize(joined.select("id", F.col("__up").alias("up"), F.when(F.col("__id").isNull(), F.col("name")).otherwise(F.concat("__name", "sep", "name")).alias("name"), "sep"), "names")
+        left = now.where(F.col("up").isNotNull()).count()
+        if left in (0, before):
+            return now.select("id", F.when(F.col("up").isNull(), F.col("name")).alias("qualified_name"))
+        before = left
 
 
 def asof(left: DataFrame, right: DataFrame, left_time: str, right_time: str, values: list[str], by: list[str]) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 #: Most severe first.
@@ -44,13 +45,14 @@ def terminal_rows() -> Column:
     return F.format_string("  %-6s %-40s %s", F.col("severity"), place(F.col("file"), F.col("line")), F.col("message"))
 
 
-def _ordered(findings: DataFrame, most: int) -> list:
-    return sort_findings(findings).limit(most).collect()  # a report for people, bounded by `most`
+def _ordered(findings: DataFrame) -> Iterator[Row]:
+    """All findings, sorted; they come a partition at a time, and only the report itself is held."""
+    return sort_findings(findings).toLocalIterator()
 
 
-def render_terminal(findings: DataFrame, failures: list[str] = (), most: int = 10_000) -> str:
+def render_terminal(findings: DataFrame, failures: list[str] = ()) -> str:
     """Findings by review with counts, most severe first; then the reviews that failed."""
-    rows = _ordered(findings.withColumn("__line", terminal_rows()), most)
+    rows = _ordered(findings.withColumn("__line", terminal_rows()))
     reviews: dict[str, list[str]] = {}
     for row in rows:
         reviews.setdefault(row["review"], []).append(row["__line"])
@@ -61,8 +63,8 @@ def render_terminal(findings: DataFrame, failures: list[str] = (), most: int = 1
     return "\n".join(out or ["No findings."])
 
 
-def render_markdown(findings: DataFrame, failures: list[str] = (), most: int = 10_000) -> str:
-    rows = _ordered(findings.withColumn("__line", markdown_rows(findings)), most)
+def render_markdown(findings: DataFrame, failures: list[str] = ()) -> str:
+    rows = _ordered(findings.withColumn("__line", markdown_rows(findings)))
     reviews: dict[str, list[str]] = {}
     for row in rows:
         reviews.setdefault(row["review"], []).append(row["__line"])
@@ -74,6 +76,6 @@ def render_markdown(findings: DataFrame, failures: list[str] = (), most: int = 1
     return "\n".join(out)
 
 
-def render_json(findings: DataFrame, failures: list[str] = (), most: int = 10_000) -> str:
+def render_json(findings: DataFrame, failures: list[str] = ()) -> str:
     keys = ["review", "severity", "file", "line", "message"]
-    return json.dumps({"findings": [{k: r[k] for k in keys} for r in _ordered(findings, most)], "failed_reviews": list(failures)}, ensure_ascii=False)
+    return json.dumps({"findings": [{k: r[k] for k in keys} for r in _ordered(findings)], "failed_reviews": list(failures)}, ensure_ascii=False)

@@ -23,12 +23,15 @@ ALIASES = {
     "array_len": "(l ARRAY<STRING>) RETURNS BIGINT RETURN size(l)",
 }
 
-#: Logical operators that only read.  Anything else in an analysed plan is refused.
+#: Logical operators that only read.  Anything else in an analysed plan is refused; files and tables are read through temporary views alone.
 READS = frozenset(
-    "Project Filter Join Aggregate Sort GlobalLimit LocalLimit Offset Distinct Deduplicate Union Intersect Except SubqueryAlias View LocalRelation OneRowRelation LogicalRDD "
-    "LogicalRelation WithCTE CTERelationDef CTERelationRef UnionLoop UnionLoopRef Window Generate LateralJoin Expand Sample Pivot Unpivot Range Tail ResolvedHint "
+    "Project Filter Join Aggregate Sort GlobalLimit LocalLimit Offset Distinct Deduplicate Union Intersect Except SubqueryAlias LocalRelation OneRowRelation "
+    "WithCTE CTERelationDef CTERelationRef UnionLoop UnionLoopRef Window Generate LateralJoin Expand Sample Pivot Unpivot Range Tail ResolvedHint "
     "InlineTable Aggregate GroupingSets ScalarSubquery Exists ListQuery LateralSubquery SetOperation RepartitionByExpression Repartition".split()
 )
+#: Expressions that run code of the caller's choice, whatever function makes them.
+CALLS = frozenset(["CallMethodViaReflection", "TryReflect"])
+EXPRESSIONS = "org.apache.spark.sql.catalyst."
 
 
 class Refused(ValueError):
@@ -45,51 +48,58 @@ def bare_head(sql: str) -> str:
 def check(spark: SparkSession, sql: str) -> None:
     """Refuses anything but one SELECT or WITH over temporary views.
 
-    The head word gives a quick answer; the parsed and analysed plan decides, so neither a
-    write behind WITH nor a file read by name (``parquet.`path```) gets through.
+    The head word gives a quick answer; the analysed plan decides.  Below a temporary view
+    stands what the host registered; everywhere else only reading operators and Spark's
+    own expressions may stand, so neither a write behind WITH nor a file read by name
+    (``parquet.`path```), under whatever name WITH defines, nor a reflective call gets through.
     """
     if bare_head(sql) not in ("SELECT", "WITH", "FROM", "VALUES"):
         raise Refused("only SELECT and WITH are allowed")
     session = spark._jsparkSession
     parsed = session.sessionState().sqlParser().parsePlan(sql)
-    for name in _relations(parsed):
-        if "." in name or not spark.catalog.tableExists(name) or not spark.catalog.getTable(name).isTemporary:
-            if name not in _ctes(parsed):
-                raise Refused(f"no such table: {name}")
-    for node in _nodes(session.sessionState().executePlan(parsed, _mode(spark)).analyzed()):
-        if node not in READS:
-            raise Refused(f"{node} isn't a read")
+    for node in _walk(session.sessionState().executePlan(parsed, _mode(spark)).analyzed()):
+        if _is_view(node):
+            continue
+        if node.nodeName() not in READS:
+            raise Refused(f"{node.nodeName()} isn't a read of a registered table")
+        for found in _expressions(node):
+            name = found.getClass().getName()
+            if not name.startswith(EXPRESSIONS) or name.rpartition(".")[2] in CALLS:
+                raise Refused(f"{name.rpartition('.')[2]} isn't allowed")
 
 
 def _mode(spark: SparkSession):
     return spark._jvm.org.apache.spark.sql.execution.CommandExecutionMode.SKIP()
 
 
+def _is_view(node) -> bool:
+    return node.nodeName() == "View" and node.isTempView()
+
+
+def _each(seq):
+    it = seq.iterator()
+    while it.hasNext():
+        yield it.next()
+
+
 def _walk(plan):
+    """The nodes of a plan and of its subqueries, but for what stands below temporary views."""
     todo = [plan]
     while todo:
         node = todo.pop()
         yield node
+        if _is_view(node):
+            continue
         for part in (node.children(), node.innerChildren(), node.subqueries()):
-            it = part.iterator()
-            while it.hasNext():
-                child = it.next()
-                if hasattr(child, "innerChildren"):
-                    todo.append(child)
-
+            todo += [child for child in _each(part) if hasattr(child, "innerChildren")]
 
-def _nodes(plan):
-    return [node.nodeName() for node in _walk(plan)]
 
-
-def _relations(plan) -> set[str]:
-    """Names of the tables that a parsed statement reads."""
-    return {x.replace(", ", ".") for x in re.findall(r"'UnresolvedRelation \[([^\]]*)\]", plan.treeString())}
-
-
-def _ctes(plan) -> set[str]:
-    """Names that a parsed statement defines by WITH."""
-    return {x.strip() for group in re.findall(r"CTE \[([^\]]*)\]", plan.treeString()) for x in group.split(",")}
+def _expressions(node):
+    todo = list(_each(node.expressions()))
+    while todo:
+        found = todo.pop()
+        yield found
+        todo += _each(found.children())
 
 
 def register_aliases(spark: SparkSession) -> None:

@@ -320,32 +320,16 @@ def q_cycle3(spark, d):
     return graph.cycles3(edges(spark, d))
 
 
-CHAIN_SQL = f"SELECT src, dst FROM ({EDGES_SQL}) WHERE (src * 7 + dst) % 23 = 0"
-
-
-@registered(f"""WITH RECURSIVE e AS ({CHAIN_SQL}), w AS (SELECT CAST(8 AS BIGINT) AS node, 0 AS depth UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node WHERE w.depth < 6)
+@registered(f"""WITH RECURSIVE e AS ({EDGES_SQL}), w AS (SELECT CAST(8 AS BIGINT) AS node, 0 AS depth UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node WHERE w.depth < 6)
 SELECT node, min(depth) AS depth FROM w GROUP BY node""")
 def q_reach(spark, d):
     seed = spark.createDataFrame([(8,)], "node long")
-    return graph.reach(edges(spark, d).where("(src * 7 + dst) % 23 = 0"), seed, 6)
+    return graph.reach(edges(spark, d), seed, 6)
 
 
-@registered(f"""WITH RECURSIVE e AS ({CHAIN_SQL}), w AS (SELECT src AS origin, dst AS node, 1 AS depth FROM e UNION SELECT w.origin, e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node WHERE w.depth < 3 AND e.dst <> w.origin)
+@registered(f"""WITH RECURSIVE e AS ({EDGES_SQL}), w AS (SELECT src AS origin, dst AS node, 1 AS depth FROM e UNION SELECT w.origin, e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node WHERE w.depth < 3 AND e.dst <> w.origin)
 SELECT origin, node, min(depth) AS depth FROM w GROUP BY origin, node""")
 def q_reach_pairs(spark, d):
-    return graph.reach_pairs(edges(spark, d).where("(src * 7 + dst) % 23 = 0"), 3)
-
-
-# The walks over all edges.  The two above stay as the SQL that they are held against: over one edge in 23.
-
-
-@registered("")
-def q_reach_whole(spark, d):
-    return graph.reach(edges(spark, d), spark.createDataFrame([(8,)], "node long"), 6)
-
-
-@registered("")
-def q_reach_pairs_whole(spark, d):
     return graph.reach_pairs(edges(spark, d), 3)
 
 
@@ -465,21 +449,16 @@ def q_math(spark, d):
 
 # --- findings -------------------------------------------------------------------------------
 
-FINDINGS_SQL = "SELECT event_id AS ord, event_type AS review, CASE WHEN value < 5 THEN 'info' WHEN value < 15 THEN 'low' WHEN value < 40 THEN 'medium' ELSE 'high' END AS severity, 'u' || user_id AS file, CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(event_id AS INT) END AS line, props || '|' || chr(10) || 'x' AS message FROM events WHERE event_id < 2000"
+FINDINGS_SQL = "SELECT event_id AS ord, event_type AS review, CASE WHEN value < 5 THEN 'info' WHEN value < 15 THEN 'low' WHEN value < 40 THEN 'medium' ELSE 'high' END AS severity, 'u' || user_id AS file, CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(event_id AS INT) END AS line, props || '|' || chr(10) || 'x' AS message FROM events"
 
 
-def all_findings(spark, d) -> DataFrame:
+def findings(spark, d) -> DataFrame:
     v = F.col("value")
     severity = F.when(v < 5, "info").when(v < 15, "low").when(v < 40, "medium").otherwise("high")
     line = F.when(F.col("event_id") % 3 != 0, F.col("event_id").cast("int"))
     return table(spark, d, "events").select(F.col("event_id").alias("ord"), F.col("event_type").alias("review"), severity.alias("severity"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("file"), line.alias("line"), F.concat("props", F.lit("|\nx")).alias("message"))
 
 
-def findings(spark, d) -> DataFrame:
-    """Those that FINDINGS_SQL has."""
-    return all_findings(spark, d).where("ord < 2000")
-
-
 @registered(f"SELECT ord, row_number() OVER (ORDER BY CASE severity WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END, review, file, ord) AS place FROM ({FINDINGS_SQL}) ORDER BY place LIMIT 100")
 def q_findings_sort(spark, d):
     top = report.sort_findings(findings(spark, d)).limit(100)
@@ -498,27 +477,6 @@ def q_findings_group(spark, d):
     return report.group_findings(findings(spark, d))
 
 
-# The same over all events.  The three above stay as the SQL that they are held against: over the first 2000 ids.
-
-
-@registered("")
-def q_findings_sort_whole(spark, d):
-    top = report.sort_findings(all_findings(spark, d)).limit(100)
-    w = Window.orderBy(report.severity_rank(F.col("severity")), "review", "file", "ord")
-    return top.select("ord", F.row_number().over(w).cast("long").alias("place"))
-
-
-@registered("")
-def q_findings_md_whole(spark, d):
-    f = all_findings(spark, d)
-    return f.select("ord", report.markdown_rows(f).alias("md"))
-
-
-@registered("")
-def q_findings_group_whole(spark, d):
-    return report.group_findings(all_findings(spark, d))
-
-
 # --- arrays, windows, sets, time --------------------------------------------------------------
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 # Extensions (case-sensitive) of each language.
 EXTENSIONS = {
-    "ts": "typescript", "mts": "typescript", "cts": "typescript", "tsx": "tsx", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "jsx",
+    "ts": "typescript", "tsx": "tsx", "js": "javascript", "jsx": "jsx",
     "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "hh": "cpp", "hxx": "cpp",
     "cs": "csharp", "rs": "rust", "py": "python", "pyi": "python", "go": "go", "java": "java", "php": "php",
 }
@@ -32,7 +32,7 @@ def parse_languages(text: str) -> list[str]:
 class Ignored:
     """Patterns of the ignore files above a path; later and deeper ones win, ``!`` takes back."""
 
-    def __init__(self, rules: list[tuple[str, str, bool, bool]] | None = None):
+    def __init__(self, rules: list[tuple[str, str, bool, bool, bool]] | None = None):
         self.rules = rules or []
 
     def with_file(self, folder: str, lines: Iterable[str]) -> Ignored:
@@ -47,17 +47,17 @@ class Ignored:
             line = line.rstrip("/")
             anchored = "/" in line
             pattern = f"{folder}/{line.lstrip('/')}" if anchored else line
-            rules.append((pattern.lstrip("/"), folder, back, only_dirs))
+            rules.append((pattern.lstrip("/"), folder, back, only_dirs, anchored))
         return Ignored(rules)
 
     def drops(self, path: str, is_dir: bool) -> bool:
         dropped = False
-        for pattern, folder, back, only_dirs in self.rules:
+        for pattern, folder, back, only_dirs, anchored in self.rules:
             if only_dirs and not is_dir:
                 continue
             if folder and not path.startswith(folder + "/"):
                 continue
-            hit = _matches(path, pattern) if "/" in pattern or folder and pattern.startswith(folder) else fnmatch.fnmatchcase(os.path.basename(path), pattern)
+            hit = _matches(path, pattern) if anchored else fnmatch.fnmatchcase(os.path.basename(path), pattern)
             if hit:
                 dropped = not back
         return dropped
@@ -126,10 +126,12 @@ def load(spark: SparkSession, root: str, languages: Iterable[str] | None = None,
 
 
 # How test files, barrels and generated files are told.
-TEST_NAME = r"(?:^test_.*\.py$|_test\.(?:py|go|rs|c|cc|cpp)$|\.(?:test|spec)\.[cm]?[jt]sx?$|Tests?\.(?:java|cs|php)$|_spec\.)"
-TEST_FOLDER = r"(?:^|/)(?:tests?|__tests__|spec|testdata)(?:/)"
+TEST_NAME = (
+    r"(?:_test\.(?:rs|go|py|cpp|cc)$|^test_.*\.(?:py|cpp|cc)$|^conftest\.py$|(?:Test|Tests|Spec)\.(?:java|cs)$|Test\.php$|_unittest\.cpp$|.Test\.cpp$|\.(?i:test|spec)\.)"
+)
+TEST_FOLDER = r"(?:^|/)(?:tests|test|__tests__|testing|testdata)/"
 BARRELS = ["index.ts", "index.tsx", "index.js", "index.jsx", "mod.rs", "__init__.py"]
-GENERATED = ["@generated", "DO NOT EDIT", "Code generated by", "auto-generated", "autogenerated"]
+GENERATED = ["@generated", "Code generated by", "DO NOT EDIT", "GENERATED FILE", "automatically generated"]
 
 
 def classify(files: DataFrame) -> DataFrame:
@@ -137,5 +139,5 @@ def classify(files: DataFrame) -> DataFrame:
     from lodestone.functions.text import basename, in_first_lines
 
     base = basename(F.col("path"))
-    is_test = base.rlike(TEST_NAME) | F.col("path").rlike(TEST_FOLDER)
+    is_test = base.rlike(TEST_NAME) | F.replace("path", F.lit("\\"), F.lit("/")).rlike(TEST_FOLDER)
     return files.select("path", is_test.alias("is_test"), base.isin(BARRELS).alias("is_barrel"), F.coalesce(in_first_lines(F.col("content"), GENERATED), F.lit(False)).alias("is_generated"))

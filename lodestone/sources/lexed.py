@@ -128,6 +128,13 @@ KEYWORDS = RESERVED | frozenset(
 )
 CALL = re.compile(r"(?P<recv>(?:[\w$)\]]+(?:\.|->|::|\?\.))*)(?P<name>[A-Za-z_$][\w$]*)(?P<bang>!?)\s*(?:::<[^()]*>)?\(")
 WORD = re.compile(r"[A-Za-z_$][A-Za-z0-9_$]*")
+
+
+def _statement(code: str, start: int, least: int) -> int:
+    """Where what stands before ``start`` begins: after the last end of a statement or block, and ``least`` characters before at any rate."""
+    return max(0, min(start - least, max(code.rfind(c, 0, start) for c in ";{}") + 1))
+
+
 BLOCKS = re.compile(r"\b(if|for|while|switch|match|try|catch|else|loop|do|foreach)\b[^{};]*$")
 
 
@@ -267,7 +274,7 @@ def attributes(facts: Facts, made: dict, mods: str, lead: str, match: re.Match,
     elif language == "java":
         facts.add("java_attrs", symbol_id=ident, annotations=marks, is_final=has("final"), is_synchronized=has("synchronized"), throws_clause=split_list(match.groupdict().get("throws")))
     elif language == "go":
-        tags = re.findall(r"//go:build\s+([^\n]+)", facts.raw[:2000].decode("utf-8", "replace"))
+        tags = re.findall(r"//go:build\s+([^\n]+)", re.split(rb"(?m)^package\b", facts.raw, maxsplit=1)[0].decode("utf-8", "replace"))
         facts.add("go_attrs", symbol_id=ident, is_exported=made["exported"], has_receiver=made["kind"] == "method", build_tags=tags)
     elif language == "php":
         body = facts.raw[made["start"] : made["end"]].decode("utf-8", "replace") if made["kind"] in ("class", "trait") else ""
@@ -333,8 +340,8 @@ def extract(facts: Facts, text: str) -> None:
         if kind == "field" and not (owner and owner["kind"] in ("class", "interface", "enum")):
             continue
         mods = (m.groupdict().get("mods") or "") + (m.groupdict().get("ret") or "")
-        before = code[max(0, start - 200) : start]
-        lead = raw[max(0, start - 300) : start].decode("utf-8", "replace").rpartition("}")[2].rpartition(";")[2]
+        before = code[_statement(code, start, 200) : start]
+        lead = raw[_statement(code, start, 300) : start].decode("utf-8", "replace").rpartition("}")[2].rpartition(";")[2]
         seen = visibility(language, mods, name)
         made = facts.symbol(
             kind, name, start, end, owner, visibility=seen, exported=exported(language, mods, name, seen, before), is_async="async" in m[0].split(name)[0] or kind == "arrow_function" and "async" in m[0],
@@ -375,7 +382,7 @@ def extract(facts: Facts, text: str) -> None:
             facts.inherits(child, m[1], "implements")
 
     for start in opens:
-        block = BLOCKS.search(code[max(0, start - 200) : start])
+        block = BLOCKS.search(code[_statement(code, start, 200) : start])
         if block:
             holder = max((s for s in scopes if s[0] <= start and pairs[start] <= s[1]), key=lambda s: s[0])[2]
             scopes.append((start, pairs[start], facts.scope(f"{block[1]}_statement", start, pairs[start], holder)))

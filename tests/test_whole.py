@@ -18,14 +18,14 @@ def test_findings_of_all_events(spark, tmp_path):
     at = datetime.datetime(2024, 1, 1)
     rows = [(k, k % 7, at, KINDS[k % 3], float(k * 37 % 50), f"p{k}|") for k in [*range(1900, 2100), 70_000]]
     d = events(spark, tmp_path, rows)
-    md = {r["ord"]: r["md"] for r in registered.q_findings_md_whole(spark, d).collect()}
+    md = {r["ord"]: r["md"] for r in registered.q_findings_md(spark, d).collect()}
     assert set(md) == {r[0] for r in rows} and md[70_000].endswith(f"| u{70_000 % 7}:70000 | p70000\\|\\| x |")
-    groups = {r["review"]: (r["n"], r["first_ord"]) for r in registered.q_findings_group_whole(spark, d).collect()}
+    groups = {r["review"]: (r["n"], r["first_ord"]) for r in registered.q_findings_group(spark, d).collect()}
     counts = Counter(r[3] for r in rows)
     assert groups == {k: (counts[k], min(r[0] for r in rows if r[3] == k)) for k in KINDS}
     rank = lambda v: 4 if v < 5 else 3 if v < 15 else 2 if v < 40 else 1
     want = [r[0] for r in sorted(rows, key=lambda r: (rank(r[4]), r[3], f"u{r[1]}", r[0]))][:100]
-    assert [r["ord"] for r in sorted(registered.q_findings_sort_whole(spark, d).collect(), key=lambda r: r["place"])] == want
+    assert [r["ord"] for r in sorted(registered.q_findings_sort(spark, d).collect(), key=lambda r: r["place"])] == want
 
 
 def test_walks_over_all_edges(spark, tmp_path, monkeypatch):
@@ -39,6 +39,6 @@ def test_walks_over_all_edges(spark, tmp_path, monkeypatch):
                 found[b] = k
         return found
 
-    assert {r["node"]: r["depth"] for r in registered.q_reach_whole(spark, "").collect()} == depths(8, 6)
-    got = {(r["origin"], r["node"]): r["depth"] for r in registered.q_reach_pairs_whole(spark, "").collect()}
+    assert {r["node"]: r["depth"] for r in registered.q_reach(spark, "").collect()} == depths(8, 6)
+    got = {(r["origin"], r["node"]): r["depth"] for r in registered.q_reach_pairs(spark, "").collect()}
     assert got == {(a, b): k for a in {a for a, _ in pairs} for b, k in depths(a, 3).items() if b != a}
