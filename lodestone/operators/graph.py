@@ -47,8 +47,9 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """``(node, depth)``: nodes within ``depth`` steps of the seeds, at their least depth.
 
     A frontier walk: each round joins only nodes that are new, so work follows distinct
-    nodes, never paths.  Every round is cut as a table.
+    nodes, never paths.  The edges and every round are cut as tables.
     """
+    edges = materialize(edges.select("src", "dst").distinct(), "edges")
     seen = materialize(seeds.select("node").distinct().select("node", F.lit(0).alias("depth")), "reach")
     front = seen
     for d in range(1, depth + 1):
@@ -62,7 +63,7 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
 
 def reach_pairs(edges: DataFrame, depth: int) -> DataFrame:
     """``(origin, node, depth)`` for all origins: the same walk keyed by (origin, node); polynomial, not one row a path."""
-    e = edges.select("src", "dst").where("src <> dst").distinct()
+    e = materialize(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
     front = materialize(e.select(F.col("src").alias("origin"), F.col("dst").alias("node"), F.lit(1).alias("depth")), "pairs")
     seen = front
     for d in range(2, depth + 1):
