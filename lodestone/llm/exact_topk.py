@@ -30,11 +30,11 @@ EXACT = float(1 << 53)
 
 
 def whole_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``(vec_id, v)`` with v = floor(1024 * x) as doubles; rows with a null id, vector or component, or a non-finite one, are left out."""
+    """``(vec_id, v)`` with v = floor(1024 * x) as doubles; rows with a null id, vector or component, or one whose product with 1024 isn't finite, are left out."""
     v = F.col(vector_col).cast("array<double>")
-    fit = F.col(id_col).isNotNull() & v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    # floor() of a large double overflows a long; x - pmod(x, 1) is the floor as a double, exact
-    floor = F.transform(v, lambda x: (x * SCALE) - F.pmod(x * SCALE, F.lit(1.0)))
+    fit = F.col(id_col).isNotNull() & v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x * SCALE) == float("inf")))
+    # floor() gives a long, which large doubles would overflow; from 2**53 on they are whole already
+    floor = F.transform(v, lambda x: F.when(F.abs(x * SCALE) < EXACT, F.floor(x * SCALE).cast("double")).otherwise(x * SCALE))
     return df.where(fit).select(F.col(id_col).cast("long").alias("vec_id"), floor.alias("v"))
 
 

@@ -39,19 +39,33 @@ JUNK = re.compile(
     r"masthead|topbar|toolbar|comment|comments|commentlist|disqus|respond|reply|replies|cookie|cookies|consent|notice|alert|popup|modal|overlay|newsletter|subscribe|"
     r"signup|login|share|sharing|social|related|recommended|pagination|pager|widget|skip|copyright|disclaimer|gdpr)"
 )
+#: Parts of names that say only that there is a box, a list or an entry of it.
+BOX = re.compile(r"(?:area|articles|bar|block|body|box|button|buttons|count|form|icons|container|content|group|holder|inner|item|items|link|links|list|news|outer|panel|posts|row|section|slot|stories|thread|threads|tools|text|title|top|bottom|left|right|main|unit|wrap|wrapper|zone|[a-z])")
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 #: Paths that a host's pages may be read with, in order of their votes; and the share of a page's best score that one must reach.
 WINNERS, ENOUGH = 5, 0.3
 
 
 class Node:
-    __slots__ = ("end", "junk", "parent", "path", "score", "start", "tag")
+    """An element.  ``path`` numbers its generalised path among the page's; ``step`` is what it adds to its parent's, if anything."""
 
-    def __init__(self, tag: str, parent: Node | None, path: str, junk: bool, start: int):
-        self.tag, self.parent, self.path, self.junk, self.start = tag, parent, path, junk, start
+    __slots__ = ("end", "junk", "parent", "path", "score", "start", "step", "tag")
+
+    def __init__(self, tag: str, parent: Node | None, path: int, step: str, junk: bool, start: int):
+        self.tag, self.parent, self.path, self.step, self.junk, self.start = tag, parent, path, step, junk, start
         self.end, self.score = -1, 0.0
 
 
+def spelled(node: Node | None) -> str:
+    """A node's path as text.  Only paths that are voted on are spelled, so deep pages take no more than their depth."""
+    steps = []
+    while node is not None:
+        if node.step:
+            steps.append(node.step)
+        node = node.parent
+    return "/".join(["", *reversed(steps)])
+
+
 def is_junk(tag: str, attrs: dict[str, str], inside: bool) -> bool:
     if tag in DROPPED or (tag == "header" and not inside):
         return True
@@ -60,23 +74,31 @@ def is_junk(tag: str, attrs: dict[str, str], inside: bool) -> bool:
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in ROLES or re.search(r"display:\s*none", attrs.get("style", "")):
         return True
     for name in [*attrs.get("class", "").lower().split(), attrs.get("id", "").lower()]:
-        parts = re.split(r"[-_\d]+", name)
-        if parts[0] not in ("has", "with", "no") and any(JUNK.fullmatch(p) for p in parts if p):
+        parts = [p for p in re.split(r"[-_\d]+", name) if p]
+        # the last part says what a thing is ("site-footer", but not "notice-period"), unless it names only a box ("ad-slot")
+        while len(parts) > 1 and BOX.fullmatch(parts[-1]):
+            parts.pop()
+        if parts and parts[0] not in ("has", "with", "no") and JUNK.fullmatch(parts[-1]):
             return True
     return False
 
 
-def parse(html: str) -> tuple[list[Node], list[list]]:
-    """The page's elements in order, and its text: (node, block, text, in a link) runs outside junk."""
-    root = Node("html", None, "", False, 0)
+def parse(html: str) -> tuple[list[Node], list[list], dict[tuple[int, str], int]]:
+    """The page's elements in order, its text as (node, block, text, in a link) runs outside junk, and the numbers of its paths by (parent's, step)."""
+    root = Node("html", None, 0, "", False, 0)
     nodes, stack, runs = [root], [root], []
+    paths: dict[tuple[int, str], int] = {}
+    inside = htmls = bodies = 0  # open articles and mains, and html and body elements of the page
     block, links, at = 0, 0, 0
 
     def close(k: int) -> None:
-        nonlocal links
+        nonlocal links, inside, htmls, bodies
         for gone in stack[k:]:
             gone.end = len(runs)
             links -= gone.tag == "a"
+            inside -= gone.tag in ("article", "main")
+            htmls -= gone.tag == "html"
+            bodies -= gone.tag == "body"
         del stack[k:]
 
     def say(raw: str) -> None:
@@ -118,30 +140,34 @@ def parse(html: str) -> tuple[list[Node], list[list]]:
                 break
             if stack[k].tag in BLOCK:
                 break
-        if tag in ("html", "body") and any(n.tag == tag for n in stack[1:]):
+        if tag == "html" and htmls or tag == "body" and bodies:
             continue
         attrs = {a.lower(): (v or "").strip("\"'") for a, v in ATTR.findall(m["attrs"] or m["attrs2"] or "")}
         top = stack[-1]
-        junk = top.junk or is_junk(tag, attrs, any(n.tag in ("article", "main") for n in stack))
-        path = top.path
+        junk = top.junk or is_junk(tag, attrs, inside > 0)
+        path, step = top.path, ""
         if tag in CONTAINER:
-            names = ".".join(sorted({re.sub(r"\d+", "", c) for c in attrs.get("class", "").lower().split()}))
-            path += f"/{tag}.{names}" if names else f"/{tag}"
+            names = ".".join(sorted({re.sub(r"\d+", "", c).replace("/", "|") for c in attrs.get("class", "").lower().split()}))
+            step = f"{tag}.{names}" if names else tag
+            path = paths.setdefault((path, step), len(paths) + 1)
         if tag in RAW:
             # what is inside isn't markup: go to the end tag
             stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
             at = stop.end() if stop else len(html)
             continue
         links += tag == "a"
-        node = Node(tag, top, path, junk, len(runs))
+        node = Node(tag, top, path, step, junk, len(runs))
         nodes.append(node)
         if not (m["attrs"] or "").endswith("/") or tag in CONTAINER:
             stack.append(node)
+            inside += tag in ("article", "main")
+            htmls += tag == "html"
+            bodies += tag == "body"
         else:
             node.end = len(runs)
             links -= tag == "a"
     close(0)
-    return nodes, runs
+    return nodes, runs, paths
 
 
 def blocks(runs: list[list]) -> Iterator[tuple[Node, str, int]]:
@@ -156,9 +182,9 @@ def blocks(runs: list[list]) -> Iterator[tuple[Node, str, int]]:
         k = j
 
 
-def scored(html: str) -> tuple[list[Node], list[list]]:
+def scored(html: str) -> tuple[list[Node], list[list], dict[tuple[int, str], int]]:
     """Parsed, with scores: a block gives its running text's length to its container, and half to the one above."""
-    nodes, runs = parse(html)
+    nodes, runs, paths = parse(html)
     for node, text, linked in blocks(runs):
         gain = max(len(text) - 1.5 * linked, 0) + 10 * text.count(",")
         share = 1.0
@@ -167,7 +193,7 @@ def scored(html: str) -> tuple[list[Node], list[list]]:
                 node.score += gain * share * (1.5 if node.tag in ("article", "main") else 1.0)
                 share /= 2
             node = node.parent
-    return nodes, runs
+    return nodes, runs, paths
 
 
 def best(nodes: list[Node], n: int) -> list[Node]:
@@ -176,13 +202,16 @@ def best(nodes: list[Node], n: int) -> list[Node]:
 
 def main_text(html: str, winners: list[str]) -> str:
     """The text of the container on the host's first winning path that holds enough, or of the page's own best one."""
-    nodes, runs = scored(html)
+    nodes, runs, paths = scored(html)
     top = best(nodes, 1)
     if not top:
         return ""
     chosen = top[0]
     for path in winners:
-        on = best([x for x in nodes if x.path == path and x.tag in CONTAINER], 1)
+        number: int | None = 0
+        for step in path.split("/")[1:]:
+            number = paths.get((number, step))
+        on = best([x for x in nodes if x.path == number and x.tag in CONTAINER], 1)
         if on and on[0].score >= ENOUGH * top[0].score:
             chosen = on[0]
             break
@@ -200,9 +229,9 @@ def host_paths(pages: DataFrame) -> DataFrame:
         for rows in slices(batches, ["host", "html"]):
             votes = []
             for name, raw in rows:
-                nodes, _ = scored((raw or b"").decode("utf-8", "replace"))
+                nodes, _, _ = scored((raw or b"").decode("utf-8", "replace"))
                 top = best(nodes, 3)
-                votes += [(name, x.path, int(1000 * x.score / top[0].score)) for x in top]
+                votes += [(name, spelled(x), int(1000 * x.score / top[0].score)) for x in top]
             columns = zip(*votes) if votes else ([], [], [])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()))], ["host", "path", "vote"])
 

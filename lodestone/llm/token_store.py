@@ -24,7 +24,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators.ranking import with_prefix_sum
@@ -131,10 +131,6 @@ def digest(raw: bytes) -> bytes:
     return hashlib.blake2b(raw, digest_size=20).digest()
 
 
-def node(parts: list[bytes]) -> bytes:
-    return hashlib.blake2b(b"".join(parts), digest_size=20, person=b"node").digest()
-
-
 def slices(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[tuple]]:
     """Rows of the batches in lists of at most SLICE_BYTES of text (one row at least); the last column is the text, as bytes."""
     for batch in batches:
@@ -187,13 +183,19 @@ def write_store(df: DataFrame, path: str, tokenizer_path: str, end_id: int, id_c
     chunks.dropDuplicates(["digest"]).write.option("compression", "none").parquet(f"{path}/chunks")
     narrow = rows.select("doc_id", "n_tokens", "digests")
     ordered = with_prefix_sum(narrow, ["doc_id", "n_tokens", "digests"], "n_tokens", "start")
-    root = F.sha2(F.concat(F.lit(b"recipe"), F.array_join(F.transform("digests", lambda d: F.hex(d)), "").cast("binary")), 256)
-    recipes = ordered.select("start", "doc_id", "n_tokens", "digests", root.alias("root"))
+    recipes = ordered.select("start", "doc_id", "n_tokens", "digests", recipe_root().alias("root"))
     recipes.repartitionByRange("start").sortWithinPartitions("start").write.parquet(f"{path}/recipes")
     write_manifest(spark, path)
     drop(spark, staging)
 
 
+def recipe_root() -> Column:
+    """The root of a recipe, made from what it lists and from where it stands: ``(start, doc_id, n_tokens, digests)``."""
+    place = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in ("start", "doc_id", "n_tokens")])
+    listed = F.array_join(F.transform("digests", lambda d: F.hex(d)), "")
+    return F.sha2(F.concat(F.lit("recipe:"), place, F.lit(":"), listed).cast("binary"), 256)
+
+
 def manifest_level(nodes: DataFrame, level: int, bits: int) -> DataFrame:
     """The nodes above rows ``(at, root)``: each hashes its rows' roots in order, at most 2**bits of them."""
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "root"))), lambda x: x["root"]), "")
@@ -202,7 +204,8 @@ def manifest_level(nodes: DataFrame, level: int, bits: int) -> DataFrame:
 
 
 def leaves(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/recipes").select(F.col("start").alias("at"), "root")
+    """The recipes' roots, made anew from their digests; the stored ones prove nothing."""
+    return spark.read.parquet(f"{path}/recipes").select(F.col("start").alias("at"), recipe_root().alias("root"))
 
 
 def write_manifest(spark: SparkSession, path: str) -> None:
@@ -210,13 +213,17 @@ def write_manifest(spark: SparkSession, path: str) -> None:
     made = manifest_level(leaves(spark, path), level, NODE_BITS)
     while True:
         made.write.parquet(f"{path}/manifest/depth={level}")
-        held = spark.read.parquet(f"{path}/manifest/depth={level}")
+        held = manifest_at(spark, path, level)
         if held.count() <= 1:
             return
         level += 1
         made = manifest_level(held.select(F.col("node").alias("at"), "root"), level, FAN_BITS)
 
 
+def manifest_at(spark: SparkSession, path: str, level: int) -> DataFrame:
+    return spark.read.schema("level int, node long, root string").parquet(f"{path}/manifest/depth={level}")
+
+
 def checked_chunks(spark: SparkSession, path: str, with_ids: bool) -> DataFrame:
     """The chunks, unpacked and held against their digests; ``ids`` (32-bit) only if asked for.  A damaged chunk raises."""
 
@@ -283,8 +290,11 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
 
     Only the chunks' lengths and crcs move: a document's crc32 is joined from its parts'.
     A chunk that a third of all documents share is a hot key of a plain equi join, which
-    adaptive execution splits.
+    adaptive execution splits.  Chunks are held against their digests, and the digests, by
+    the recipes' roots, against every level of the manifest: a store that differs raises.
     """
+    if bad := verify_manifest(spark, path).first():
+        raise ValueError(f"the manifest's node {bad['node']} at level {bad['level']} differs from what is below it")
     parts = spark.read.parquet(f"{path}/recipes").select("start", "doc_id", "n_tokens", F.posexplode("digests").alias("pos", "digest"))
     joined = parts.join(checked_chunks(spark, path, False), "digest")
     rows = joined.groupBy("start", "doc_id", "n_tokens").agg(F.sort_array(F.collect_list(F.struct("pos", "n", "crc"))).alias("parts"))
@@ -316,7 +326,13 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def verify_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Nodes of the lowest level whose stored root differs from the recipes' (none, if all is well)."""
-    again = manifest_level(leaves(spark, path), 0, NODE_BITS).select("node", "root")
-    stored = spark.read.parquet(f"{path}/manifest/depth=0").select("node", F.col("root").alias("stored"))
-    return again.join(stored, "node", "full").where(~F.col("root").eqNullSafe(F.col("stored")))
+    """``(level, node)`` wherever a stored node differs from what the rows below it give: the digests of the recipes, then each level (none, if all is well)."""
+    below, bits, level, found = leaves(spark, path), NODE_BITS, 0, None
+    while True:
+        stored = manifest_at(spark, path, level).select("node", F.col("root").alias("stored"))
+        again = manifest_level(below, level, bits).select("node", "root")
+        bad = again.join(stored, "node", "full").where(~F.col("root").eqNullSafe(F.col("stored"))).select(F.lit(level).alias("level"), "node")
+        found = bad if found is None else found.unionByName(bad)
+        if stored.count() <= 1:
+            return found
+        below, bits, level = stored.select(F.col("node").alias("at"), F.col("stored").alias("root")), FAN_BITS, level + 1
