@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import os
+import re
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -15,8 +17,8 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.token_store import slices
 
-#: Units that a task's memo holds before it starts anew.
-MEMO_UNITS = 400_000
+#: Units, and bytes of units and ids, that a task's memo holds before it starts anew.
+MEMO_UNITS, MEMO_BYTES = 400_000, 64 << 20
 
 
 def byte_table() -> dict[int, str]:
@@ -32,11 +34,17 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class ByteBpe:
-    """A tokenizer built from ranks: every way to join two tokens into a third is a merge of the third's rank."""
+    """A tokenizer built from ranks: every way to join two tokens into a third is a merge of the third's rank.
+
+    The library orders merges one by one, ranks order them by what they make.  That differs
+    only where two ways to make one token overlap, p + q and q + r with p not q, and then
+    the leftmost must win.  The bytes p q r of all such cases are known beforehand; units
+    that hold any are merged here by rank, all others by the library.
+    """
 
     def __init__(self, ranks_path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import tiktoken
+        import regex
         from tokenizers import Regex, Tokenizer
         from tokenizers.models import BPE
         from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
@@ -52,11 +60,13 @@ class ByteBpe:
         model = BPE(vocab={spelled[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True)
         self.tokenizer = Tokenizer(model)
         self.tokenizer.pre_tokenizer = Sequence([Split(Regex(pattern), "isolated"), ByteLevel(add_prefix_space=False, use_regex=False)])
-        # an exact check of each new unit: two merges of one rank that overlap must go leftmost first
-        self.exact = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.ranks, self.pattern = ranks, regex.compile(pattern)
+        overlaps = {t[:k] + t for t in ranks for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks and t[:k] != t[k:] and t.startswith(t[k:]) and t[len(t) - k :] in ranks}
+        self.overlap = re.compile(b"|".join(map(re.escape, sorted(overlaps))) if overlaps else rb"(?!)")
         from_char = {c: b for b, c in to_char.items()}
         self.table = {i: bytes(map(from_char.__getitem__, token)) for token, i in self.tokenizer.get_vocab().items()}
         self.memo: dict[str, bytes] = {}
+        self.held = 0
 
     def units(self, text: str) -> list[str]:
         """Pieces of the text at whose borders the pattern always parts it: before a single space between two words."""
@@ -77,18 +87,49 @@ class ByteBpe:
         for at in range(0, len(missing), 256):
             some = missing[at : at + 256]
             for unit, out in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                ids = out.ids
-                if ids != (exact := self.exact.encode_ordinary(unit)):
-                    ids = exact
+                ids = out.ids if not self.overlap.search(unit.encode()) else [i for piece in self.pattern.findall(unit) for i in self.merged(piece.encode())]
                 self.memo[unit] = np.array(ids, "<u4").tobytes()
+                self.held += len(unit) + 4 * len(ids)
+
+    def merged(self, raw: bytes) -> list[int]:
+        """The ids of one match: the pair of the least rank joins first, and of several such pairs the leftmost."""
+        if raw in self.ranks:
+            return [self.ranks[raw]]
+        after, before = list(range(1, len(raw) + 1)), list(range(-1, len(raw) - 1))
+        ends = list(range(1, len(raw) + 1))  # of the part that begins here
+        heap: list[tuple[int, int, int]] = []
+
+        def offer(at: int) -> None:
+            if at >= 0 and (right := after[at]) < len(raw) and (rank := self.ranks.get(raw[at : ends[right]])) is not None:
+                heapq.heappush(heap, (rank, at, ends[right]))
+
+        for at in range(len(raw)):
+            offer(at)
+        while heap:
+            _, at, end = heapq.heappop(heap)
+            right = after[at]
+            if ends[at] <= at or right >= len(raw) or ends[right] != end:
+                continue  # one of the two has been joined to another since
+            ends[at], after[at] = end, after[right]
+            ends[right] = 0
+            if after[right] < len(raw):
+                before[after[right]] = at
+            offer(at)
+            offer(before[at])
+        out, at = [], 0
+        while at < len(raw):
+            out.append(self.ranks[raw[at : ends[at]]])
+            at = ends[at]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         split = [self.units(t) for t in texts]
         need = set().union(*split)
         missing = [u for u in need if u not in self.memo]
-        if len(self.memo) + len(missing) > MEMO_UNITS:
+        if len(self.memo) + len(missing) > MEMO_UNITS or self.held > MEMO_BYTES:
             self.memo.clear()
+            self.held = 0
             missing = list(need)
         self.learn(missing)
         return [b"".join(map(self.memo.__getitem__, us)) for us in split]
@@ -149,7 +190,11 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
 
 
 def round_trip(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: texts encoded, and the ids decoded again, in one pass."""
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: texts encoded, and the ids decoded again, in one pass.
+
+    Null and empty texts have no ids and the digests of nothing; rows may repeat, a null
+    id stays, extra columns are left alone, and an empty table gives an empty result.
+    """
     columns = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
 
     def one(bpe: ByteBpe, doc_id: int, ids: np.ndarray) -> tuple:
