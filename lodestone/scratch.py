@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +35,8 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 _LOCAL: dict[str, str] = {}
+#: Paths made since the innermost ``only_result`` of this context began.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -42,6 +46,9 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     there = jvm.org.apache.hadoop.fs.Path(path)
     fs = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.deleteOnExit(there)
+    made = _MADE.get()
+    if made is not None:
+        made.append(path)
     return path
 
 
@@ -53,6 +60,23 @@ def materialize(df: DataFrame, label: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def only_result(make: Callable[[], DataFrame], label: str = "cut") -> DataFrame:
+    """``make()`` cut as a table; the tables that were cut on the way to it are deleted then.
+
+    What ``make`` hands out beside its result must not be read later.
+    """
+    held = _MADE.set([])
+    try:
+        df = make()
+        passing = _MADE.get()
+    finally:
+        _MADE.reset(held)
+    result = materialize(df, label)
+    for path in passing:
+        drop(df.sparkSession, path)
+    return result
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Delete a scratch path that no later plan reads."""
     jvm = spark.sparkContext._jvm
