@@ -86,6 +86,15 @@ def bit_flips(fp: Column) -> Column:
     return F.array(fp, *[fp.bitwiseXOR(F.lit((1 << i) - (1 << 64 if i == 63 else 0))) for i in range(64)])
 
 
+def cells(distinct: DataFrame) -> DataFrame:
+    """``(point, fp, moved, n)``: the fingerprints at each grid point that ``n``, two or more, share."""
+    n = distinct.count()
+    segments = next(s for most, s in SEGMENTS if most is None or n <= most)
+    at = distinct.select("fp", F.explode(grid_points(F.col("fp"), segments)).alias("g")).select("fp", "g.point", "g.moved")
+    crowd = at.groupBy("point").agg(F.count(F.lit(1)).alias("n"))
+    return at.join(crowd.where("n > 1").hint("merge"), "point")
+
+
 def links(distinct: DataFrame) -> DataFrame:
     """``(a, b)``: pairs of distinct fingerprints that connect all within RADIUS bits of each other.
 
@@ -93,20 +102,19 @@ def links(distinct: DataFrame) -> DataFrame:
     HOT_CELL / 2 a row.  In larger ones (dense families of near copies) the fingerprints
     are linked exactly through shared one-bit neighbours, a star around each: the same
     components, and work in proportion to their number.
+
+    Joins here are by sorting: the planner takes exploded rows to be as few as those they
+    were made of, and would gather up to 65 times its limit in the driver to broadcast it.
     """
-    n = distinct.count()
-    segments = next(s for most, s in SEGMENTS if most is None or n <= most)
-    at = distinct.select("fp", F.explode(grid_points(F.col("fp"), segments)).alias("g")).select("fp", "g.point", "g.moved")
-    crowd = at.groupBy("point").agg(F.count(F.lit(1)).alias("n"))
-    shared = materialize(at.join(crowd.where("n > 1"), "point"), "cells")
+    shared = materialize(cells(distinct), "cells")
     light = shared.where(F.col("n") <= HOT_CELL).select("point", "fp", "moved")
     other = light.select(F.col("point").alias("point2"), F.col("fp").alias("fp2"), F.col("moved").alias("moved2"))
     near = (F.col("point") == F.col("point2")) & (F.col("fp") < F.col("fp2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= RADIUS)
-    pairs = light.join(other, near).select(F.col("fp").alias("a"), F.col("fp2").alias("b"))
+    pairs = light.join(other.hint("merge"), near).select(F.col("fp").alias("a"), F.col("fp2").alias("b"))
     hot = shared.where(F.col("n") > HOT_CELL).select("fp").distinct()
     flips = hot.select("fp", F.explode(bit_flips(F.col("fp"))).alias("z"))
     centre = flips.groupBy("z").agg(F.min("fp").alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    stars = flips.join(centre, "z").where("fp <> c").select(F.col("c").alias("a"), F.col("fp").alias("b"))
+    stars = flips.join(centre.hint("merge"), "z").where("fp <> c").select(F.col("c").alias("a"), F.col("fp").alias("b"))
     return pairs.unionByName(stars).distinct()
 
 
