@@ -36,6 +36,9 @@ MAX_COMMON_DISTANCE = 0.25
 #: Histogram entries are whole parts of this, so that sums don't depend on the order of rows.
 UNIT = 1_000_000
 
+#: Repeated hashes of a text's windows up to which each window's is looked up among them.
+FEW = 64
+
 N_CLASSES = 7
 
 
@@ -44,15 +47,15 @@ def language(lang: Column) -> Column:
     return F.when(lang.isin(*COMMON_WORDS), lang).otherwise(F.lit("und"))
 
 
-def _repeated_words(w: Column) -> Column:
-    """Words covered by a 3-word window that occurs twice or more: sort windows, compare neighbours, merge runs."""
+def _covered_words(w: Column, at: Column) -> Column:
+    """Words covered by a 3-word window that occurs twice or more, of those at the places ``at``: sort windows, compare neighbours, merge runs."""
 
     def windows(w: Column) -> Column:
         def one(i: Column) -> Column:
             a, b, c = F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)
             return F.struct(F.xxhash64(a, b, c).alias("h"), a.alias("a"), b.alias("b"), c.alias("c"), i.alias("p"))
 
-        return F.array_sort(F.transform(F.sequence(F.lit(0), F.size(w) - 3), one))
+        return F.array_sort(F.transform(at, one))
 
     def same(x: Column, y: Column) -> Column:
         return (x["h"] == y["h"]) & (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
@@ -66,7 +69,25 @@ def _repeated_words(w: Column) -> Column:
         step = F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3))))
         return F.aggregate(step, F.lit(0).cast("long"), lambda acc, x: acc + x)
 
-    found = let(windows(w), lambda s: let(places(s), covered))
+    return let(windows(w), lambda s: let(places(s), covered))
+
+
+def _repeated_words(w: Column) -> Column:
+    """``_covered_words`` of the windows whose hash another one has; no window is repeated without that.
+
+    Where more than FEW hashes come twice, of all windows, since looking each up would take longer.
+    """
+    every = F.sequence(F.lit(0), F.size(w) - 3)
+    hashes = F.transform(every, lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+
+    def twice(h: Column) -> Column:
+        return let(F.sort_array(h), lambda s: F.array_distinct(F.filter(s, lambda x, i: x == F.get(s, i + 1))))
+
+    def among(h: Column, t: Column) -> Column:
+        at = F.when(F.size(t) > FEW, every).otherwise(F.filter(every, lambda i: F.array_contains(t, F.get(h, i))))
+        return F.when(F.size(t) > 0, let(at, lambda p: _covered_words(w, p))).otherwise(F.lit(0))
+
+    found = let(hashes, lambda h: let(twice(h), lambda t: among(h, t)))
     return F.when(F.size(w) >= 3, found).otherwise(F.lit(0)).cast("long")
 
 
@@ -104,7 +125,7 @@ def _common(w: Column, lang: Column) -> Column:
     own = reduce(lambda e, kv: F.when(lang == kv[0], kv[1]).otherwise(e), lists, F.array(*[F.lit("\x00")] * 15))
     low = F.filter(F.transform(w, lambda x: F.lower(x)), lambda x: F.array_contains(own, x))
     return let(low, lambda c: F.concat(
-        F.transform(own, lambda o: F.size(F.filter(c, lambda x: x == o)).cast("long")), F.array((F.size(w) - F.size(c)).cast("long"))
+        F.transform(own, lambda o: (F.size(c) - F.size(F.array_remove(c, o))).cast("long")), F.array((F.size(w) - F.size(c)).cast("long"))
     ))
 
 
