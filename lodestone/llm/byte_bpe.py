@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.token_store import slices
 
-#: Units, and bytes of units and ids, that a task's memo holds before it starts anew.
+#: Units or matches, and bytes of them and their ids, from which on a task's memo starts anew at its next slice.
 MEMO_UNITS, MEMO_BYTES = 400_000, 64 << 20
 
 
@@ -33,6 +33,23 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
+class Held(dict):
+    """Ids by text, worked out when first asked for; ``trim`` starts anew what has grown too large."""
+
+    def __init__(self, work: Callable[[str], bytes]):
+        self.work, self.size = work, 0
+
+    def __missing__(self, key: str) -> bytes:
+        found = self[key] = self.work(key)
+        self.size += len(key) + len(found)
+        return found
+
+    def trim(self) -> None:
+        if len(self) > MEMO_UNITS or self.size > MEMO_BYTES:
+            self.clear()
+            self.size = 0
+
+
 class ByteBpe:
     """A tokenizer built from ranks: every way to join two tokens into a third is a merge of the third's rank.
 
@@ -65,8 +82,8 @@ class ByteBpe:
         self.overlap = re.compile(b"|".join(map(re.escape, sorted(overlaps))) if overlaps else rb"(?!)")
         from_char = {c: b for b, c in to_char.items()}
         self.table = {i: bytes(map(from_char.__getitem__, token)) for token, i in self.tokenizer.get_vocab().items()}
-        self.memo: dict[str, bytes] = {}
-        self.held = 0
+        self.model, self.chars = model, to_char
+        self.memo, self.matches = Held(self.unit), Held(self.match)
 
     def units(self, text: str) -> list[str]:
         """Pieces of the text at whose borders the pattern always parts it: before a single space between two words."""
@@ -83,13 +100,16 @@ class ByteBpe:
                 out[-1] += " " + p
         return out
 
-    def learn(self, missing: list[str]) -> None:
-        for at in range(0, len(missing), 256):
-            some = missing[at : at + 256]
-            for unit, out in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                ids = out.ids if not self.overlap.search(unit.encode()) else [i for piece in self.pattern.findall(unit) for i in self.merged(piece.encode())]
-                self.memo[unit] = np.array(ids, "<u4").tobytes()
-                self.held += len(unit) + 4 * len(ids)
+    def match(self, piece: str) -> bytes:
+        """The ids of one match of the pattern, whole tokens first: the model's own merges, but for those whose order it loses."""
+        raw = piece.encode()
+        if self.overlap.search(raw):
+            return np.array(self.merged(raw), "<u4").tobytes()
+        return np.array([t.id for t in self.model.tokenize("".join(map(self.chars.__getitem__, raw)))], "<u4").tobytes()
+
+    def unit(self, unit: str) -> bytes:
+        """The ids of a unit: new units are mostly known matches put together anew."""
+        return b"".join(map(self.matches.__getitem__, self.pattern.findall(unit)))
 
     def merged(self, raw: bytes) -> list[int]:
         """The ids of one match: the pair of the least rank joins first, and of several such pairs the leftmost."""
@@ -124,15 +144,9 @@ class ByteBpe:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [self.units(t) for t in texts]
-        need = set().union(*split)
-        missing = [u for u in need if u not in self.memo]
-        if len(self.memo) + len(missing) > MEMO_UNITS or self.held > MEMO_BYTES:
-            self.memo.clear()
-            self.held = 0
-            missing = list(need)
-        self.learn(missing)
-        return [b"".join(map(self.memo.__getitem__, us)) for us in split]
+        for memo in (self.memo, self.matches):
+            memo.trim()
+        return [b"".join(map(self.memo.__getitem__, self.units(t))) for t in texts]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes that ids stand for.  A character may be split over several ids: only whole sequences are text."""
