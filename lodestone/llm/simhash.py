@@ -146,7 +146,11 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     first = _rooted(df, id_col, text_col).groupBy("root").agg(F.min(place).alias("first"))
-    kept = first.select(F.col("first.doc_id").alias("__id"), F.col("first.row").alias("__row"))
-    keyed = df.withColumn("__hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    same = keyed[id_col].eqNullSafe(kept["__id"]) & (keyed["__hash"] == kept["__row"])
-    return keyed.join(kept, same, "left_semi").dropDuplicates([id_col, "__hash"]).select(*df.columns)
+    # plain columns without nulls: texts are dealt out by them once, for the join and for the one row that stays
+    def key(doc_id: Column, row: Column) -> list[Column]:
+        return [doc_id.isNull().alias("__none"), F.coalesce(doc_id, F.lit(0)).alias("__id"), F.coalesce(row, F.lit(0)).alias("__row")]
+
+    names = ["__none", "__id", "__row"]
+    kept = first.select(*key(F.col("first.doc_id"), F.col("first.row")))
+    keyed = df.select("*", *key(F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))))
+    return keyed.join(kept, names, "left_semi").dropDuplicates(names).select(*df.columns)

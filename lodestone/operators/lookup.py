@@ -38,3 +38,14 @@ def first_known(wanted: DataFrame, ident: list[str], candidates: Column, known:
     hits = each.join(known.select(F.col(known_col).alias("candidate")).distinct(), "candidate")
     best = ranked_resolve(hits, ident, ["rank", "candidate"])
     return best.select(*ident, F.col("candidate").alias("resolved"), "rank")
+
+
+def maybe_among(table: DataFrame, key: str, wanted: DataFrame, name: str, words: int = 19) -> DataFrame:
+    """``table`` with ``name``: whether the hash ``key`` may be one of ``wanted``'s; false only if it isn't.
+
+    A bitmap of at most 2**words longs is broadcast, whatever the input.
+    """
+    word, bit = F.shiftright(F.col(key), 6).bitwiseAND(F.lit((1 << words) - 1)), F.col(key).bitwiseAND(F.lit(63)).cast("int")
+    bits = wanted.groupBy(word.alias("__word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("__bits"))
+    found = F.call_function("shiftright", F.col("__bits"), bit).bitwiseAND(F.lit(1)) == 1
+    return table.withColumn("__word", word).join(F.broadcast(bits), "__word", "left").withColumn(name, F.coalesce(found, F.lit(False))).drop("__word", "__bits")
