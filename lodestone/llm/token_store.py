@@ -13,11 +13,15 @@ Layout of a store (all Parquet):
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import cache
 from itertools import islice
 
@@ -37,6 +41,9 @@ MEMO_WORDS, SLICE_BYTES = 400_000, 1 << 20
 #: A recipe's node in the lowest level of the manifest covers this many ids' worth of starts (in bits).
 NODE_BITS, FAN_BITS = 16, 8
 
+#: Ids below this have their hashes in a table.
+SMALL_IDS = 1 << 16
+
 ENCODED = "doc_id long, n_tokens long, digests array<binary>, lens array<int>, payloads array<binary>"
 
 
@@ -62,6 +69,14 @@ class Memo(dict):
         return found
 
 
+def pack(ids: list[int]) -> bytes:
+    """Little-endian 32-bit ids; for a few ids cheaper than by way of NumPy."""
+    made = array("I", ids)
+    if sys.byteorder == "big":
+        made.byteswap()
+    return made.tobytes()
+
+
 class WordEncoder:
     """Encodes white-space separated words with the tokenizers library, each distinct word once per memo.
 
@@ -84,13 +99,15 @@ class WordEncoder:
 
     def run(self, run: str) -> bytes:
         spelled = run if run.isascii() else "".join(map(self.chars.__getitem__, run.encode()))
-        return np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
+        return pack([t.id for t in self.model.tokenize(spelled)])
 
     def word(self, word: bytes) -> bytes:
+        if word.isalpha():  # of bytes: ASCII letters, which are one run
+            return self.runs[word.lower().decode()]
         text = word.decode("utf-8", "replace")
         if PLAIN.fullmatch(text) and "<|" not in text:
             return b"".join(map(self.runs.__getitem__, RUNS.findall(text.lower())))
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def encode(self, text: bytes) -> bytes:
         """Little-endian 32-bit ids of a text (UTF-8)."""
@@ -103,17 +120,26 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def chunk_ends(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one document's ids, decided by the 32 ids before each place alone."""
-    n = len(ids)
+def mixed(ids: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each id."""
     h = ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    h ^= h >> np.uint64(31)
+    return h ^ (h >> np.uint64(31))
+
+
+@cache
+def mixed_small() -> np.ndarray:
+    """The hashes of all ids below SMALL_IDS, looked up rather than made for each id of a text."""
+    return mixed(np.arange(SMALL_IDS))
+
+
+def chunk_ends(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of one document's ids, decided by the 32 ids before each place alone."""
+    n = len(ids)
+    h = mixed_small()[ids] if n and int(ids.max()) < SMALL_IDS else mixed(ids)
     for by in (1, 2, 4, 8, 16):
-        wider = h.copy()
-        wider[by:] += h[:-by] << np.uint64(by)
-        h = wider
+        h[by:] += h[:-by] << np.uint64(by)
     ends, last = [], 0
     for end in [*(np.flatnonzero(h >> np.uint64(64 - CHUNK_BITS) == 0) + 1).tolist(), n]:
         if end - last < MIN_CHUNK and end != n:
@@ -127,6 +153,18 @@ def chunk_ends(ids: np.ndarray) -> list[int]:
     return ends
 
 
+@contextmanager
+def no_collection() -> Iterator[None]:
+    """Encoding makes many small objects and no cycles of them: searching large memos for cycles meanwhile finds nothing."""
+    before = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if before:
+            gc.enable()
+
+
 def digest(raw: bytes) -> bytes:
     return hashlib.blake2b(raw, digest_size=20).digest()
 
@@ -154,8 +192,10 @@ def encoded(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_
         end = np.array([end_id], "<u4").tobytes()
         for rows in slices(batches, ["doc_id", "text"]):
             out: list[list] = [[], [], [], [], []]
-            for doc_id, text in rows:
-                ids = np.frombuffer(encoder.encode(text or b"") + end, "<u4")
+            with no_collection():
+                streams = [encoder.encode(text or b"") + end for _, text in rows]
+            for (doc_id, _), stream in zip(rows, streams):
+                ids = np.frombuffer(stream, "<u4")
                 ends = chunk_ends(ids)
                 parts = [ids[a:b].astype("<u2" if int(ids[a:b].max()) < 65536 else "<u4") for a, b in zip([0, *ends], ends)]
                 raws = [p.tobytes() for p in parts]
