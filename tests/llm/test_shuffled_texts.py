@@ -65,13 +65,14 @@ def test_profiles_move_to_buckets_once(spark):
 
 
 def test_texts_of_lines_leave_with_the_groups(spark):
-    df = frame(spark, variants(3, 12, 2))
+    lines = variants(3, 12, 2)
+    df = frame(spark, lines)
     held = scratch._MADE.set([])
     try:
         judged = fuzzy_lines.judged_lines(df)
         made = list(scratch._MADE.get())
     finally:
         scratch._MADE.reset(held)
-    assert judged.count() == 12
+    assert judged.count() == len(lines)
     left = [p for p in made if os.path.isdir(p.removeprefix("file://"))]
     assert [("places" in p) for p in left] == [True]
