@@ -80,3 +80,31 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
+
+
+def op11() -> str:
+    return r"""
+WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+  row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256 FROM n"""
+
+
+def op13() -> str:
+    failing = " || ".join(
+        f"CASE WHEN {test} THEN '{name}' ELSE '' END"
+        for name, test in {
+            "A": "len(w) < 200", "B": "100 * len(list_distinct(w)) < 50 * len(w)", "C": "100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t)",
+            "D": "regexp_matches(t, '[#$%&*|]')", "E": "coalesce(doc_id > least_id, false)",
+        }.items()
+    )
+    return f"""
+WITH base AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {WORDS} AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least_id FROM documents),
+cells AS (SELECT part, {failing} AS fails, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS toxic FROM base),
+sums AS (SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS g, count(*) FILTER (WHERE toxic) AS x FROM cells GROUP BY part, fails),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+orders AS (SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM letters a, letters b, letters c, letters d, letters e WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+gone AS (SELECT s.*, filter_order, CASE WHEN fails = '' THEN 6 ELSE list_min(list_transform(string_split(fails, ''), lambda c: strpos(filter_order, c))) END AS gone_at FROM sums s, orders),
+figures AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, substr(filter_order, step, 1) AS f, CAST(sum(CASE WHEN gone_at > step THEN n ELSE 0 END) AS BIGINT) AS kept, CAST(sum(CASE WHEN gone_at = step THEN n ELSE 0 END) AS BIGINT) AS removed,
+  CAST(sum(CASE WHEN gone_at < step AND contains(fails, substr(filter_order, step, 1)) THEN n ELSE 0 END) AS BIGINT) AS redundant, CAST(sum(CASE WHEN fails = substr(filter_order, step, 1) THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+  CAST(sum(CASE WHEN gone_at = step THEN g ELSE 0 END) AS BIGINT) AS good_lost, CAST(sum(CASE WHEN gone_at = step THEN x ELSE 0 END) AS BIGINT) AS toxic_lost FROM gone, (SELECT unnest([1, 2, 3, 4, 5]) AS step) GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM figures"""
