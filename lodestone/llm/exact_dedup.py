@@ -131,15 +131,15 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, primes: tuple[int, i
     return materialize(whole.unionByName(large.select(*whole.columns)), "documents")
 
 
-def collisions(df: DataFrame, known: DataFrame, id_col: str, text_col: str, primes: tuple[int, int] = PRIMES) -> DataFrame:
+def collisions(df: DataFrame, known: DataFrame, sums: DataFrame, id_col: str, text_col: str, primes: tuple[int, int] = PRIMES) -> DataFrame:
     """``(n_bytes, fp)`` of classes that hold different texts, found by comparing the bytes of their chunks.
 
     Texts of classes of one row stay where they are (but for those that a bitmap of fixed
     size takes for others).  Of the rest the chunks move, at most once for each task and
     distinct text.
     """
-    several = known.groupBy("n_bytes", "fp").agg(F.sum("copies").alias("rows")).where("rows > 1")
-    hints = known.join(several.select("n_bytes", "fp"), ["n_bytes", "fp"], "left_semi").select("hint").distinct()
+    several = sums.where("group_size > 1").select("n_bytes", "fp")
+    hints = known.join(several.hint("merge"), ["n_bytes", "fp"], "left_semi").select("hint").distinct()
     rows = maybe_among(_rows(df, id_col, text_col), "hint", hints, "maybe").where("maybe").select("doc_id", "hint", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,9 +156,17 @@ def collisions(df: DataFrame, known: DataFrame, id_col: str, text_col: str, prim
     return materialize(ends.where("lo <> hi").select("n_bytes", "fp").distinct(), "collisions")
 
 
-def _classes(rows: DataFrame, key: list[str]) -> DataFrame:
-    """``rows`` with the least id and the number of rows of their class.  Rows of a hot class are split by the join."""
-    sums = rows.groupBy(*key).agg(F.min("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
+def _sums(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Each class with its least id and its number of rows, cut as a table.
+
+    A join with an aggregate of the very shuffle it reads can't be split, and a hot class
+    would be one task's.
+    """
+    return materialize(rows.groupBy(*key).agg(F.min("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")), "classes")
+
+
+def _classes(rows: DataFrame, sums: DataFrame, key: list[str]) -> DataFrame:
+    """``rows`` with what is known of their class.  Rows of a hot class are split by the join."""
     return rows.join(sums.hint("merge"), key).select("doc_id", "sha256", "copies", "keep_id", "group_size")
 
 
@@ -178,16 +186,18 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", prime
     Other columns aren't read, so their names don't matter.
     """
     known = fingerprints(df, id_col, text_col, primes, huge)
-    mixed = collisions(df, known, id_col, text_col, primes)
+    sums = _sums(known, ["n_bytes", "fp"])
+    mixed = collisions(df, known, sums, id_col, text_col, primes)
     if mixed.isEmpty():
-        return _spread(_classes(known, ["n_bytes", "fp"]))
+        return _spread(_classes(known, sums, ["n_bytes", "fp"]))
     clean = known.join(mixed, ["n_bytes", "fp"], "left_anti")
     hints = known.join(mixed, ["n_bytes", "fp"], "left_semi").select("hint").distinct()
     texts = _rows(df, id_col, text_col).join(hints, "hint", "left_semi").groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("copies"))
-    apart = _classes(texts.withColumn("sha256", F.sha2(F.col("text").cast("binary"), 256)), ["text"])
+    texts = texts.withColumn("sha256", F.sha2(F.col("text").cast("binary"), 256))
+    apart = _classes(texts, _sums(texts, ["text"]), ["text"])
     # a clean class may share a hint with a mixed one: it is told by the classes that the mixed ones' texts have
     some = known.join(mixed, ["n_bytes", "fp"], "left_semi").select("sha256").distinct()
-    return _spread(_classes(clean, ["n_bytes", "fp"]).unionByName(apart.join(some, "sha256", "left_semi").select("doc_id", "sha256", "copies", "keep_id", "group_size")))
+    return _spread(_classes(clean, sums, ["n_bytes", "fp"]).unionByName(apart.join(some, "sha256", "left_semi").select("doc_id", "sha256", "copies", "keep_id", "group_size")))
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
