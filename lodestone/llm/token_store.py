@@ -36,8 +36,11 @@ from lodestone.scratch import drop, scratch_path
 
 #: Ids a chunk has at least, and on average beyond that; longer ones are cut at the last.
 MIN_CHUNK, CHUNK_BITS, MAX_CHUNK = 64, 10, 16384
-#: Words that a task's memo holds before it starts anew, and text bytes it encodes at a time.
-MEMO_WORDS, SLICE_BYTES = 400_000, 1 << 20
+#: Bytes, objects included, that one generation of a memo may take; a worker holds two memos of two generations.  An entry costs
+#: ENTRY bytes beside its key and value, words of over LONG_WORD bytes aren't kept, and a memo turns every TURN words at most.
+MEMO_BYTES, ENTRY, LONG_WORD, TURN = 16 << 20, 200, 64, 1 << 16
+#: Text bytes that a task encodes at a time.
+SLICE_BYTES = 1 << 20
 #: A recipe's node in the lowest level of the manifest covers this many ids' worth of starts (in bits).
 NODE_BITS, FAN_BITS = 16, 8
 
@@ -53,21 +56,34 @@ RUNS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^A-Za-z0-9À-ÖØ-öø-ÿ]+"
 
 
 class Memo(dict):
-    """Values worked out when first asked for.  A full memo becomes the old one, and what is asked for again moves over."""
+    """Values worked out when first asked for, while there is room for them.
 
-    def __init__(self, work: Callable):
-        self.work, self.old = work, {}
+    ``turned`` gives a memo to go on with: a full one becomes the old generation of a new
+    one, whose own old generation goes.  What is asked for again moves over.
+    """
+
+    def __init__(self, work: Callable, room: int = 0):
+        self.work, self.room, self.size = work, room or MEMO_BYTES, 0
+        self.old: dict = {}
 
     def __missing__(self, key):
-        if len(self) >= MEMO_WORDS:
-            self.old = dict(self)
-            self.clear()
+        if len(key) > LONG_WORD:
+            return self.work(key)
         found = self.old.get(key)
         if found is None:
             found = self.work(key)
-        self[key] = found
+        if self.size < self.room:
+            self.size += ENTRY + len(key) + len(found)
+            self[key] = found
         return found
 
+    def turned(self) -> Memo:
+        if self.size < self.room:
+            return self
+        new = Memo(self.work, self.room)
+        new.old, self.old = self, {}
+        return new
+
 
 def pack(ids: list[int]) -> bytes:
     """Little-endian 32-bit ids; for a few ids cheaper than by way of NumPy."""
@@ -111,7 +127,12 @@ class WordEncoder:
 
     def encode(self, text: bytes) -> bytes:
         """Little-endian 32-bit ids of a text (UTF-8)."""
-        return b"".join(map(self.memo.__getitem__, text.split()))
+        words = text.split()
+        out = []
+        for at in range(0, len(words), TURN):
+            self.memo, self.runs = self.memo.turned(), self.runs.turned()
+            out.append(b"".join(map(self.memo.__getitem__, words[at : at + TURN] if len(words) > TURN else words)))
+        return b"".join(out)
 
 
 @cache
