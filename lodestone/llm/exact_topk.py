@@ -149,7 +149,7 @@ def search(df: DataFrame, k: int, every: int, id_col: str = "vec_id", vector_col
     with another id.  Queries are broadcast in blocks of at most QUERIES; each partition
     of the pivot table searches its own blocks and hands on k rows a query, which are
     ranked once more.  Vectors of unequal length are padded with zeros.  Rows of the same
-    id are one query if equal.  An empty table gives an empty result.
+    id are one query if equal, and else a query with a list of its own each.  An empty table gives an empty result.
     """
     spark = df.sparkSession
     vectors = materialize(whole_vectors(df, id_col, vector_col), "vectors")
@@ -159,22 +159,22 @@ def search(df: DataFrame, k: int, every: int, id_col: str = "vec_id", vector_col
     queries = vectors.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"])
     queries = materialize(with_rank(queries, ["vec_id", "v"], "r"), "queries")
     n = queries.count()
-    schema = "query_id long, vec_id long, score long"
+    schema = "r long, query_id long, vec_id long, score long"
     found = spark.createDataFrame([], schema)
     for at in range(0, n, QUERIES):
         rows = queries.where((F.col("r") >= at) & (F.col("r") < at + QUERIES)).collect()  # bounded by QUERIES
-        block = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in rows], np.int64), matrix([r["v"] for r in rows], pivots.shape[1]), pivots))
+        block = spark.sparkContext.broadcast(([r["r"] for r in rows], np.array([r["vec_id"] for r in rows], np.int64), matrix([r["v"] for r in rows], pivots.shape[1]), pivots))
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            ids, q, marks = block.value
+            ranks, ids, q, marks = block.value
             own = Search(ids, q, marks, k)
             for batch in batches:
                 for n, dims, raw_ids, raw_x, raw_d in zip(*[batch.column(c).to_pylist() for c in ("n", "dims", "ids", "x", "dists")]):
                     own.see(Block(np.frombuffer(raw_ids, np.int64), np.frombuffer(raw_x).reshape(n, dims), np.frombuffer(raw_d).reshape(n, len(marks))))
-            for query, (scores, hits) in zip(ids.tolist(), own.best):
-                if len(hits):
-                    yield pa.RecordBatch.from_arrays([pa.array([query] * len(hits), pa.int64()), pa.array(hits), pa.array(scores)], ["query_id", "vec_id", "score"])
+            for r, query, (scores, hits) in zip(ranks, ids.tolist(), own.best):
+                if n := len(hits):
+                    yield pa.RecordBatch.from_arrays([pa.array([r] * n, pa.int64()), pa.array([query] * n, pa.int64()), pa.array(hits), pa.array(scores)], ["r", "query_id", "vec_id", "score"])
 
         found = found.unionByName(table.mapInArrow(run, schema))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    place = F.row_number().over(Window.partitionBy("r").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -103,7 +103,7 @@ def equal_depth_codes(df: DataFrame, dims: list[str], bits: int) -> DataFrame:
     return materialize(summed.select("dim", "num", "str", code.alias("code")), "codes")
 
 
-def hilbert_shards(df: DataFrame, dims: list[str], id_col: str, n_shards: int, bits: int = 6) -> DataFrame:
+def hilbert_shards(df: DataFrame, dims: list[str], id_col: str, n_shards: int, bits: int = 6, ties: list[str] | None = None) -> DataFrame:
     """``df`` with ``hilbert`` (long), ``shard`` (int) and ``slot`` (long, gapless from 0 in a shard).
 
     Law ``rows``: the order by (hilbert, id) is cut into ``n_shards`` runs whose counts
@@ -111,8 +111,8 @@ def hilbert_shards(df: DataFrame, dims: list[str], id_col: str, n_shards: int, b
     curve, but the id orders and splits its rows like any others: range partitioning on
     (hilbert, id) deals them to many tasks and no window groups by cell.
 
-    Nulls in a dimension are a value of their own; a null id sorts first.  Repeated rows
-    keep one place each.  An empty table gives an empty result.  Columns of ``df`` other
+    Nulls in a dimension are a value of their own; a null id sorts first.  Rows of one id,
+    or of none, are ordered by the columns ``ties``.  Repeated rows keep one place each.  An empty table gives an empty result.  Columns of ``df`` other
     than the three named are kept as they are (names beginning with ``__`` are reserved).
     """
     narrow = materialize(df, "shard-in")
@@ -126,7 +126,7 @@ def hilbert_shards(df: DataFrame, dims: list[str], id_col: str, n_shards: int, b
         out = out.withColumn("__k", key).join(own, F.col("__k").eqNullSafe(F.col("__v")), "left").drop("__k", "__v")
     place = hilbert_index([F.col(f"__c{d}") for d in range(len(dims))], bits)
     placed = out.withColumn("hilbert", place).drop(*[f"__c{d}" for d in range(len(dims))])
-    ranked = with_rank(placed, ["hilbert", id_col], "__r")
+    ranked = with_rank(placed, ["hilbert", id_col, *(ties or [])], "__r")
     total = narrow.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     n = max(total, 1)
     shard = F.expr(f"__r * {n_shards}L div {n}L")

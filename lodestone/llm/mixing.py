@@ -23,9 +23,13 @@ LEVEL_BITS = 10
 LEVELS = 3
 
 
-def doc_hash(id_col: str) -> Column:
-    """30 bits of the MD5 of the id alone, so reruns and other engines agree, and repeated rows go together."""
-    digits = F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, 8)
+def doc_hash(id_col: str, text_col: str) -> Column:
+    """30 bits of the MD5 of id and text: reruns and other engines agree, and only rows equal in both go together.
+
+    Texts of one id, or of none, are apart, so that the budget can end between them.
+    """
+    place = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit("")))
+    digits = F.substring(F.md5(place.cast("binary")), 1, 8)
     return F.conv(digits, 16, 10).cast("long").bitwiseAND(F.lit((1 << (LEVEL_BITS * LEVELS)) - 1))
 
 
@@ -96,7 +100,7 @@ def thresholds(sized: DataFrame) -> DataFrame:
 
 def plan_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
     """``(sized, plan)``: the rows ``(id, source, size, hash)`` and the thresholds of the sources."""
-    sized = materialize(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), doc_hash(id_col).alias("hash")), "sized")
+    sized = materialize(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), doc_hash(id_col, text_col).alias("hash")), "sized")
     return sized, thresholds(sized)
 
 
@@ -107,7 +111,7 @@ def copies(plan: DataFrame, hash_: Column) -> Column:
 def mixed_sizes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``(id, size, source_size, target, taken)`` for every row: ``taken`` counts repeats.
 
-    Null texts have size 0; a null id hashes like any value; a null source is a source of
+    Null texts have size 0; rows without an id are told apart by their texts; a null source is a source of
     its own; an empty table gives an empty result.  The plan has a row for each source, so
     the join is broadcast when it is small and otherwise split where a source is hot.
     """
@@ -119,7 +123,7 @@ def mixed_sizes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: each row of ``df`` as many times as it is taken, which may be none."""
     _, plan = plan_mix(df, id_col, text_col, source_col)
-    hashed = df.withColumn("__hash", doc_hash(id_col))
+    hashed = df.withColumn("__hash", doc_hash(id_col, text_col))
     p = plan.select(F.col("source").alias("__source"), "full", "threshold").select("__source", F.col("full").alias("__full"), F.col("threshold").alias("__threshold"))
     n = F.col("__full") + F.when(F.col("__hash") < F.col("__threshold"), F.lit(1)).otherwise(F.lit(0))
     joined = hashed.join(p, hashed[source_col].eqNullSafe(p["__source"])).withColumn("__n", n.cast("int"))

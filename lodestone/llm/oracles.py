@@ -57,7 +57,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 def op6() -> str:
     bits = (1 << (m.LEVEL_BITS * m.LEVELS)) - 1
     return f"""
-WITH sized AS (SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) & {bits} AS h FROM documents),
+WITH sized AS (SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 8) AS BIGINT) & {bits} AS h FROM documents),
 sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS s, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rk FROM sized GROUP BY source),
 weighed AS (SELECT *, CASE rk % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w, 3 * s AS cap FROM sums),
 filled AS (SELECT *, CAST(sum(s) OVER () AS BIGINT) - coalesce(CAST(sum(cap) OVER before AS BIGINT), 0) AS rest, CAST(sum(w) OVER () AS BIGINT) - coalesce(CAST(sum(w) OVER before AS BIGINT), 0) AS share

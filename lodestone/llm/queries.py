@@ -35,7 +35,7 @@ def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
     ).withColumn("size_class", F.floor(F.log2("size") * 4).cast("int"))
-    placed = hilbert_shards(narrow, ["source", "lang", "size_class"], "doc_id", n_shards=24)
+    placed = hilbert_shards(narrow, ["source", "lang", "size_class"], "doc_id", n_shards=24, ties=["text_crc32", "size"])
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert"
     )

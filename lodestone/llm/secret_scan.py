@@ -28,11 +28,21 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 BASE_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-#: Words of a target's name, and how strongly each says that the value is secret.
+#: Words of a target's name (several in a row for some), and how strongly each says that the value is secret.
 SENSITIVE = {
-    "password": 3, "passwd": 3, "passphrase": 3, "pwd": 2, "secret": 3, "token": 2, "apikey": 3, "api_key": 3, "api-key": 3,
-    "private_key": 3, "privatekey": 3, "access_key": 3, "accesskey": 3, "credential": 2, "auth": 1, "signing": 1, "encryption": 1,
+    ("password",): 3, ("passwords",): 3, ("passwd",): 3, ("passphrase",): 3, ("pwd",): 2, ("secret",): 3, ("secrets",): 3, ("token",): 2, ("apikey",): 3, ("api", "key"): 3,
+    ("private", "key"): 3, ("privatekey",): 3, ("access", "key"): 3, ("accesskey",): 3, ("credential",): 2, ("credentials",): 2, ("auth",): 1, ("signing",): 1, ("encryption",): 1,
 }
+#: Words that end in one of these count as it: names are often written without a border.
+COMPOUND = ("password", "passwd", "passphrase", "apikey")
+#: Words behind a sensitive one that leave it what the name is about; behind any other word it only describes.
+STILL = frozenset("value val string str text key prod production dev test staging live main default old new base".split())
+#: Texts without a match have no sensitive name.
+SENSED = re.compile(r"passw|passphrase|pwd|secret|token|(?:api|private|access)[_.\-]?key|credential|auth|signing|encryption")
+NAME_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
+#: Values that say where something is, and words joined by hyphens or dots with at most a number each.
+PLACE = re.compile(r"[a-z][a-z0-9+.-]*://(?![^/@]*:[^/@]*@)|(?:~|\.{1,2})?/[\w.-]+/|[A-Za-z]:\\\\?")
+WORDY = re.compile(r"[A-Za-z]{2,}[0-9]{0,4}(?:[-_.][A-Za-z]{2,}[0-9]{0,4})+")
 NEEDED = 4
 MIN_LITERAL = 8
 #: How often a name's literals count in one value, should names repeat each other.
@@ -61,18 +71,26 @@ def base_spans(text: str, low: str) -> list[tuple[int, int, str]]:
 
 
 def weight(name: str) -> int:
-    low = name.lower()
-    return max((w for k, w in SENSITIVE.items() if k in low), default=0)
+    """How strongly a name's words say that its value is secret.  Words count whole: a tokenizer or an author has none."""
+    words = [w.lower() for w in NAME_WORDS.findall(name)]
+    best = 0
+    for at in range(len(words)):
+        for size in (1, 2):
+            own = SENSITIVE.get(tuple(words[at : at + size]), 3 if size == 1 and words[at].endswith(COMPOUND) else 0)
+            if own and not all(w in STILL or w.isdigit() for w in words[at + size :]):
+                own -= 3
+            best = max(best, own)
+    return best
 
 
 def looks(value: str) -> int:
-    """How much a literal looks like a credential: mixed character classes, entropy, no words of a placeholder."""
-    if len(value) < MIN_LITERAL or len(set(value)) < 5 or re.search(r"\s", value) or PLACEHOLDER.search(value) or 0 <= value.find("<") < value.rfind(">"):
+    """How much a literal looks like a credential: mixed character classes, entropy, no place, no words of a placeholder."""
+    if len(value) < MIN_LITERAL or len(set(value)) < 5 or re.search(r"\s", value) or PLACEHOLDER.search(value) or 0 <= value.find("<") < value.rfind(">") or PLACE.match(value):
         return -9
     kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
     n = len(value)
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    return (kinds >= 2) + (entropy >= 3.0) + (n >= 16)
+    return (kinds >= 2) + (entropy >= 3.0) + (n >= 16) - 2 * bool(WORDY.fullmatch(value))
 
 
 def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, int, int, str]]]]:
@@ -106,7 +124,7 @@ def leaves(parts: list) -> list[tuple[int, int, str]]:
 
 
 def literal_spans(text: str, low: str) -> list[tuple[int, int, str]]:
-    if not any(w in low for w in SENSITIVE):
+    if not SENSED.search(low):
         return []
     known: dict[str, list] = {}
     found = set()

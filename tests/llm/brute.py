@@ -171,6 +171,7 @@ def simhash(docs):
 def mix(docs):
     """{doc: (size, source size, target, taken)} of rows (doc_id, text, source)."""
     size = {doc: len(words(t)) for doc, t, _ in docs}
+    text = {doc: t or "" for doc, t, _ in docs}
     source = {doc: s for doc, _, s in docs}
     total = Counter()
     for doc, s in source.items():
@@ -193,7 +194,7 @@ def mix(docs):
         cells = defaultdict(list)
         for doc in source:
             if source[doc] == s:
-                cells[int(hashlib.md5(str(doc).encode()).hexdigest()[:8], 16) & (2**30 - 1)].append(doc)
+                cells[int(hashlib.md5(f"{doc}:{text[doc]}".encode()).hexdigest()[:8], 16) & (2**30 - 1)].append(doc)
         have, open_ = 0, budget > 0
         for h in sorted(cells):
             own = sum(size[doc] for doc in cells[h])
