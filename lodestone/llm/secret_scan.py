@@ -35,8 +35,9 @@ SENSITIVE = {
 }
 #: Words that end in one of these count as it: names are often written without a border.
 COMPOUND = ("password", "passwd", "passphrase", "apikey")
-#: Words behind a sensitive one that leave it what the name is about; behind any other word it only describes.
+#: Words behind a sensitive one that leave it what the name is about, as does all behind one of LINKS; before any other word it only describes.
 STILL = frozenset("value val string str text key prod production dev test staging live main default old new base".split())
+LINKS = frozenset("of for from to in by with".split())
 #: Texts without a match have no sensitive name.
 SENSED = re.compile(r"passw|passphrase|pwd|secret|token|(?:api|private|access)[_.\-]?key|credential|auth|signing|encryption")
 NAME_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -77,7 +78,8 @@ def weight(name: str) -> int:
     for at in range(len(words)):
         for size in (1, 2):
             own = SENSITIVE.get(tuple(words[at : at + size]), 3 if size == 1 and words[at].endswith(COMPOUND) else 0)
-            if own and not all(w in STILL or w.isdigit() for w in words[at + size :]):
+            behind = words[at + size :]
+            if own and behind and behind[0] not in LINKS and not all(w in STILL or w.isdigit() for w in behind):
                 own -= 3
             best = max(best, own)
     return best
