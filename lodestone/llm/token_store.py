@@ -36,9 +36,9 @@ from lodestone.scratch import drop, scratch_path
 
 #: Ids a chunk has at least, and on average beyond that; longer ones are cut at the last.
 MIN_CHUNK, CHUNK_BITS, MAX_CHUNK = 64, 10, 16384
-#: Bytes, objects included, that one generation of a memo may take; a worker holds two memos of two generations.  An entry costs
-#: ENTRY bytes beside its key and value, words of over LONG_WORD bytes aren't kept, and a memo turns every TURN words at most.
-MEMO_BYTES, ENTRY, LONG_WORD, TURN = 16 << 20, 200, 64, 1 << 16
+#: Bytes, objects included, that one generation of a memo may take; a worker holds two.  An entry costs ENTRY bytes beside its
+#: key and value, words of over LONG_WORD bytes aren't kept, and a memo turns every TURN words at most.
+MEMO_BYTES, ENTRY, LONG_WORD, TURN = 96 << 20, 200, 64, 1 << 16
 #: Text bytes that a task encodes at a time.
 SLICE_BYTES = 1 << 20
 #: A recipe's node in the lowest level of the manifest covers this many ids' worth of starts (in bits).
@@ -97,9 +97,9 @@ class WordEncoder:
     """Encodes white-space separated words with the tokenizers library, each distinct word once per memo.
 
     The vocabulary's normalizer and splitter never join ids across ASCII white space, so
-    the ids of a text are those of its words in order.  Plain words go on to the
-    library's BPE model as the runs they are split into, each distinct run once; any
-    other word goes through the whole tokenizer.
+    the ids of a text are those of its words in order.  Plain words are lower-cased and
+    parted into runs, which the library's BPE model encodes; any other word goes through
+    the whole tokenizer.  A word of one run and that run are one entry of the memo.
     """
 
     def __init__(self, path: str):
@@ -111,26 +111,30 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.chars = byte_table()
-        self.memo, self.runs = Memo(self.word), Memo(self.run)
+        self.memo = Memo(self.word)
 
-    def run(self, run: str) -> bytes:
-        spelled = run if run.isascii() else "".join(map(self.chars.__getitem__, run.encode()))
+    def run(self, run: bytes) -> bytes:
+        spelled = run.decode() if run.isascii() else "".join(map(self.chars.__getitem__, run))
         return pack([t.id for t in self.model.tokenize(spelled)])
 
     def word(self, word: bytes) -> bytes:
         if word.isalpha():  # of bytes: ASCII letters, which are one run
-            return self.runs[word.lower().decode()]
+            low = word.lower()
+            return self.run(word) if low == word else self.memo[low]
         text = word.decode("utf-8", "replace")
         if PLAIN.fullmatch(text) and "<|" not in text:
-            return b"".join(map(self.runs.__getitem__, RUNS.findall(text.lower())))
+            runs = [r.encode() for r in RUNS.findall(text.lower())]
+            return self.run(word) if runs == [word] else b"".join(map(self.memo.__getitem__, runs))
         return pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def encode(self, text: bytes) -> bytes:
         """Little-endian 32-bit ids of a text (UTF-8)."""
+        if b"<|" not in text:  # no name of a special token, whose case counts
+            text = text.lower()
         words = text.split()
         out = []
         for at in range(0, len(words), TURN):
-            self.memo, self.runs = self.memo.turned(), self.runs.turned()
+            self.memo = self.memo.turned()
             out.append(b"".join(map(self.memo.__getitem__, words[at : at + TURN] if len(words) > TURN else words)))
         return b"".join(out)
 
