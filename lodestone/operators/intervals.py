@@ -5,34 +5,65 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.sweep import latest_reaching
 from lodestone.scratch import materialize
 
 
-def innermost(points: DataFrame, spans: DataFrame, by: str, at: str, point_id: str, start: str = "start", end: str = "end", span_id: str = "span_id") -> DataFrame:
+def innermost(points: DataFrame, spans: DataFrame, by: str, at: str, point_id: str, start: str = "start", end: str = "end", span_id: str = "span_id", partitions: int | None = None) -> DataFrame:
     """``points`` with ``span_id`` of the innermost span of the same ``by`` that holds the point, ends included.
 
-    Innermost is the span that starts last, and among those the one that ends first.  The
-    join is an equi join on ``by`` with a range residual; only the best span of each point
-    is kept, by a partial ``max_by``-style aggregate, so nothing is sorted.
+    Innermost is the span that starts last, and among those the one that ends first, and
+    then the greatest id.  One ordered sweep over points and spans, without pairs (see
+    :mod:`lodestone.operators.sweep`); starts, ends and points are numbers of one type.
+    Spans without a start or an end hold nothing.  Point ids are unique.
     """
-    inside = points.join(spans.withColumnRenamed(by, "__by"), (F.col(by) == F.col("__by")) & (F.col(start) <= F.col(at)) & (F.col(at) <= F.col(end)))
-    rank = F.struct(F.col(start), -F.col(end), F.col(span_id))
-    best = inside.groupBy(F.col(point_id).alias("__point")).agg(F.max(rank)[span_id].alias(span_id))
-    return points.join(best, F.col(point_id) == F.col("__point"), "left").drop("__point")
+    kinds = dict(points.dtypes) | dict(spans.dtypes)
+    none = {c: F.lit(None).cast(kinds[c]) for c in (span_id, point_id, end)}
+    pushed = spans.where(F.col(start).isNotNull() & F.col(end).isNotNull()).select(
+        F.col(by).alias("by"), F.col(start).alias("place"), F.lit(0).alias("asks"), (-F.col(end)).alias("fall"), F.col(span_id).alias("tie"),
+        F.col(end).alias("end"), F.col(span_id).alias("span"), none[end].alias("ask"), none[point_id].alias("asker"),
+    )
+    asked = points.where(F.col(at).isNotNull()).select(
+        F.col(by).alias("by"), F.col(at).alias("place"), F.lit(1).alias("asks"), none[end].alias("fall"), none[span_id].alias("tie"),
+        none[end].alias("end"), none[span_id].alias("span"), F.col(at).cast(kinds[end]).alias("ask"), F.col(point_id).alias("asker"),
+    )
+    best = latest_reaching(pushed.unionByName(asked), ["place", "asks", "fall", "tie"], partitions)
+    return points.join(best.select(F.col("asker").alias("__point"), F.col("span").alias(span_id)), F.col(point_id) == F.col("__point"), "left").drop("__point")
 
 
-def parents(spans: DataFrame, by: str, span_id: str, start: str = "start", end: str = "end") -> DataFrame:
+def parents(spans: DataFrame, by: str, span_id: str, start: str = "start", end: str = "end", partitions: int | None = None) -> DataFrame:
     """``spans`` with ``parent_id``: the innermost other span of the same ``by`` that contains it.
 
     Order is start ascending, end descending, id: of equal spans the earlier contains the later.
+    One ordered sweep, in which every span asks before it is passed itself.  Ids are unique;
+    a span without a start or an end neither contains nor is contained.
     """
-    outer = spans.select(F.col(by).alias("__by"), F.col(span_id).alias("__id"), F.col(start).alias("__start"), F.col(end).alias("__end"))
-    before = (F.col("__start") < F.col(start)) | ((F.col("__start") == F.col(start)) & ((F.col("__end") > F.col(end)) | ((F.col("__end") == F.col(end)) & (F.col("__id") < F.col(span_id)))))
-    inside = spans.join(outer, (F.col(by) == F.col("__by")) & before & (F.col("__end") >= F.col(end)))
-    best = inside.groupBy(F.col(span_id).alias("__child")).agg(F.max(F.struct("__start", (-F.col("__end")).alias("__e"), "__id"))["__id"].alias("parent_id"))
+    events = spans.where(F.col(start).isNotNull() & F.col(end).isNotNull()).select(
+        F.col(by).alias("by"), F.col(start).alias("place"), (-F.col(end)).alias("fall"), F.col(span_id).alias("tie"),
+        F.col(end).alias("end"), F.col(span_id).alias("span"), F.col(end).alias("ask"), F.col(span_id).alias("asker"),
+    )
+    best = latest_reaching(events, ["place", "fall", "tie"], partitions).select(F.col("asker").alias("__child"), F.col("span").alias("parent_id"))
     return spans.join(best, F.col(span_id) == F.col("__child"), "left").drop("__child")
 
 
+def depths(tree: DataFrame, id_col: str, parent_col: str) -> DataFrame:
+    """``(id, depth)``: how many rows a row's chain of parents has, itself included, by pointer doubling.
+
+    A parent that isn't a row ends the chain, and so does a row that is its own parent.
+    Rows on a longer cycle, or below one, have no root and so no depth: null.
+    """
+    now = tree.select(F.col(id_col).alias("id"), F.when(F.col(parent_col) != F.col(id_col), F.col(parent_col)).alias("up"), F.lit(1).cast("long").alias("depth"))
+    before = None
+    while True:
+        above = now.select(F.col("id").alias("__id"), F.col("up").alias("__up"), F.col("depth").alias("__depth"))
+        joined = now.join(above, F.col("up") == F.col("__id"), "left")
+        now = materialize(joined.select("id", F.col("__up").alias("up"), (F.col("depth") + F.coalesce("__depth", F.lit(0))).alias("depth")), "depths")
+        left = now.where(F.col("up").isNotNull()).count()
+        if left in (0, before):
+            return now.select("id", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
+        before = left
+
+
 def qualified_names(tree: DataFrame, id_col: str, parent_col: str, name_col: str, separator: Column | str) -> DataFrame:
     """``(id, qualified_name)``: names from the root down, by pointer doubling, so log(depth) joins at any depth.
 

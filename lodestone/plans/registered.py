@@ -13,6 +13,7 @@ from lodestone.operators import graph, intervals, lookup, report
 from lodestone.operators.anti import unshared
 from lodestone.operators.dedupe import keep_first, keep_last
 from lodestone.operators.ranked import filter_or_all, first_then_rest, ranked_resolve
+from lodestone.scratch import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -219,11 +220,25 @@ NESTS_SQL = "SELECT event_id AS id, user_id, epoch_us(ts) AS s, epoch_us(ts) + C
 AND (p.s < c.s OR (p.s = c.s AND (p.e > c.e OR (p.e = c.e AND p.id < c.id)))))
 SELECT sp.id, r.parent_id FROM sp LEFT JOIN r ON r.id = sp.id AND r.rn = 1""")
 def q_parent_nest(spark, d):
+    return q_nests(spark, d).select("id", "parent_id")
+
+
+def q_nests(spark, d):
     some = table(spark, d, "events").where("event_type = 'error'")
     start = micros("ts")
     # whole hours of the rounded value; DuckDB's cast rounds half to even, as rint does
     nests = some.select(F.col("event_id").alias("id"), "user_id", start.alias("start"), (start + F.rint("value").cast("long") * 3600000000).alias("end"))
-    return intervals.parents(nests, "user_id", "id").select("id", "parent_id")
+    return intervals.parents(nests, "user_id", "id")
+
+
+@registered(f"""WITH RECURSIVE sp AS ({NESTS_SQL}), r AS (SELECT c.id, p.id AS parent_id, row_number() OVER (PARTITION BY c.id ORDER BY p.s DESC, p.e, p.id DESC) AS rn FROM sp c JOIN sp p ON p.user_id = c.user_id AND p.e >= c.e
+AND (p.s < c.s OR (p.s = c.s AND (p.e > c.e OR (p.e = c.e AND p.id < c.id))))),
+tree AS (SELECT sp.id, sp.user_id, r.parent_id FROM sp LEFT JOIN r ON r.id = sp.id AND r.rn = 1),
+d AS (SELECT id, user_id, CAST(1 AS BIGINT) AS depth FROM tree WHERE parent_id IS NULL UNION ALL SELECT t.id, t.user_id, d.depth + 1 FROM tree t JOIN d ON t.parent_id = d.id)
+SELECT user_id, max(depth) AS depth FROM d GROUP BY user_id""")
+def q_nesting_depth(spark, d):
+    nested = materialize(q_nests(spark, d).select("id", "user_id", "parent_id"), "nested")
+    return nested.join(intervals.depths(nested, "id", "parent_id"), "id").groupBy("user_id").agg(F.max("depth").alias("depth"))
 
 
 @registered("SELECT e.event_id, count(*) AS n FROM events e JOIN events f ON f.user_id = e.user_id AND f.ts >= e.ts AND f.ts <= e.ts + INTERVAL 6 HOUR WHERE e.event_type = 'signup' GROUP BY e.event_id")
