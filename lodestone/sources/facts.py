@@ -139,13 +139,13 @@ def extract(files: DataFrame) -> DataFrame:
 
 
 def facts_table(facts: DataFrame, name: str) -> DataFrame:
-    """One table out of the tagged facts; of rows with one key the last emitted stays."""
+    """One table out of the tagged facts, with the file of each row as ``__file``; of rows with one key the last emitted stays."""
     schema = schemas.schema(name)
     rows = facts.where(F.col("table") == name).select("file_path", "ord", F.from_json("payload", schema).alias("r"))
     rows = rows.select(F.col("file_path").alias("__file"), F.col("ord").alias("__ord"), "r.*")
     if key := schemas.primary_key(name):
         rows = keep_last(rows, key, ["__file", "__ord"])
-    return rows.drop("__file", "__ord")
+    return rows.drop("__ord")
 
 
 def documents_next(comments: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import fnmatch
 import os
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,29 +101,75 @@ def discover(root: str, languages: Iterable[str] | None = None) -> list[str]:
     return sorted(found)
 
 
+def relative(path: Column, root: str) -> Column:
+    """A path below the root, relative to it, however Spark spells the scheme (file:/a and file:///a name the same place)."""
+    local = root.removeprefix("file://")
+    base = F.lit(root if "://" in root else f"file:{os.path.abspath(local)}")
+    plain = F.regexp_replace(path, r"^([a-z0-9]+):/+", "/")
+    start = F.regexp_replace(base, r"^([a-z0-9]+):/+", "/")
+    return F.ltrim(F.substr(plain, F.length(start) + 1), F.lit("/"))
+
+
+def file_rows(rows: DataFrame, root: str, repo_id: str = "") -> DataFrame:
+    """``file`` rows, and what else there is, of binary files below a root (none: paths are relative): of known languages and valid UTF-8."""
+    named = rows.withColumn("path", relative(F.col("path"), root) if root else F.col("path")).withColumn("language", language_of(F.col("path"))).where("language is not null")
+    valid = named.where(F.is_valid_utf8(F.col("content").cast("string")))
+    return valid.select("path", "language", F.lit(repo_id).alias("repo_id"), F.col("content").cast("string").alias("content"), *[c for c in rows.columns if c not in ("path", "content", "length")])
+
+
+def local_folder(root: str) -> str | None:
+    """The folder that a root names on this machine's file system, which executors must see as well; none for other roots."""
+    local = root.removeprefix("file://")
+    return os.path.abspath(local) if os.path.isdir(local) else None
+
+
+def listing(spark: SparkSession, root: str, languages: Iterable[str] | None = None) -> DataFrame:
+    """``path`` of the files of a tree, relative to its root: names alone, no contents are read.
+
+    Ignore files are honoured for local roots.  Of other roots Spark lists the names, and
+    leaves out those that begin with an underscore or a dot.
+    """
+    if local := local_folder(root):
+        return spark.createDataFrame([(p,) for p in discover(local, languages)], "path string")
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(relative(F.col("path"), root).alias("path"))
+    language = language_of(F.col("path"))
+    return rows.where(language.isin(list(languages)) if languages is not None else language.isNotNull())
+
+
+def read_local(names: DataFrame, folder: str, max_bytes: int | None = None) -> DataFrame:
+    """``(path, content)`` of files below a folder that every executor sees: opened by the tasks, one file at a time.
+
+    A file that is gone by then, or is larger than ``max_bytes``, has no row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                try:
+                    whole = os.path.join(folder, path)
+                    if max_bytes is not None and os.path.getsize(whole) > max_bytes:
+                        continue
+                    with open(whole, "rb") as file:
+                        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([file.read()], pa.binary())], ["path", "content"])
+                except FileNotFoundError:
+                    continue
+
+    return names.select("path").mapInArrow(run, "path string, content binary")
+
+
 def load(spark: SparkSession, root: str, languages: Iterable[str] | None = None, max_bytes: int | None = None, repo_id: str = "") -> DataFrame:
     """``file`` rows of a tree: the driver lists names, executors read texts.
 
-    The root may be any path Spark reads; ignore files are honoured for local roots.
-    Files over ``max_bytes`` are left out before they are read, and so are files that
-    aren't UTF-8.
+    The root may be any path Spark reads (see :func:`listing` for what differs).  Files over
+    ``max_bytes`` are left out before they are read, and files that aren't UTF-8 after.
     """
-    local = root.removeprefix("file://")
+    kept = listing(spark, root, languages)
+    if local := local_folder(root):
+        return file_rows(read_local(kept, local, max_bytes), "", repo_id)
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = F.lit(root if "://" in root else f"file:{os.path.abspath(local)}")
-    # file:/a and file:///a name the same place
-    plain = F.regexp_replace("path", r"^([a-z0-9]+):/+", "/")
-    start = F.regexp_replace(base, r"^([a-z0-9]+):/+", "/")
-    relative = F.ltrim(F.substr(plain, F.length(start) + 1), F.lit("/"))
     if max_bytes is not None:
         rows = rows.where(F.col("length") <= max_bytes)
-    rows = rows.withColumn("rel", relative).withColumn("language", language_of(F.col("rel")))
-    rows = rows.where(F.col("language").isin(list(languages)) if languages is not None else F.col("language").isNotNull())
-    if os.path.isdir(local):
-        kept = spark.createDataFrame([(p,) for p in discover(local, languages)], "rel string")
-        rows = rows.join(kept, "rel", "left_semi")
-    rows = rows.where(F.is_valid_utf8(F.col("content").cast("string")))
-    return rows.select(F.col("rel").alias("path"), "language", F.lit(repo_id).alias("repo_id"), F.col("content").cast("string").alias("content"))
+    return file_rows(rows, root, repo_id).join(kept, "path", "left_semi").select("path", "language", "repo_id", "content")
 
 
 # How test files, barrels and generated files are told.

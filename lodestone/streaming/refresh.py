@@ -1,4 +1,4 @@
-"""Incremental refresh: new and changed files as a stream, each batch replacing its files' facts."""
+"""Incremental refresh: new files as a stream, each batch applied to the store as a change of its files."""
 
 from __future__ import annotations
 
@@ -6,40 +6,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lodestone import schemas
-from lodestone.catalog import Catalog
+from lodestone.engine import Engine
+from lodestone.operators.dedupe import keep_last
 from lodestone.scratch import materialize
-from lodestone.sources.facts import extract, facts_table
-from lodestone.sources.files import language_of
+from lodestone.sources import files as trees
 
 
 def file_stream(spark: SparkSession, root: str) -> DataFrame:
-    """``file`` rows of files that appear below the root."""
-    rows = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*").schema("path string, modificationTime timestamp, length long, content binary").load(root)
-    rows = rows.withColumn("language", language_of(F.col("path"))).where("language is not null")
-    return rows.select("path", "language", F.lit("").alias("repo_id"), F.col("content").cast("string").alias("content"))
+    """``file`` rows, with their time, of files that appear below the root; paths are relative to it.
+
+    Spark shows a path once: a file that changes in place is found by ``Engine.refresh``.
+    """
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    rows = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).schema(schema).load(root)
+    return trees.file_rows(rows, root).withColumn("time", F.col("modificationTime")).drop("modificationTime")
 
 
-def refresh(catalog: Catalog, stream: DataFrame, checkpoint: str, tables: list[str] | None = None) -> StreamingQuery:
-    """Upserts each batch: rows of the batch's files go out, the newly extracted come in.
+def refresh(engine: Engine, stream: DataFrame, checkpoint: str) -> StreamingQuery:
+    """Applies each batch of ``file_stream`` to the engine's store, which must have been opened.
 
-    The batch is idempotent (the same files give the same rows), so a replayed batch after
-    a failure leaves the store as it was.
+    Files that are gone, or that the ignore
+    files exclude now, go with the batch that is applied next.  Files whose contents the
+    store has already are left alone, so a batch that is replayed after a failure changes
+    nothing more.
     """
-    own = {"file": "path", "symbol": "file_path", "span": "file_path", "call_site": "file_path", "raw_import": "file_path", "occurrence": "file_path", "scope": "file_path", "comment": "file_path"}
-    names = tables or list(own)
-
-    def upsert(batch: DataFrame, _: int) -> None:
-        batch = materialize(batch, "batch")
-        facts = extract(batch)
-        paths = batch.select(F.col("path").alias("__path")).distinct()
-        for name in names:
-            fresh = batch.select([f.name for f in schemas.schema(name).fields]) if name == "file" else facts_table(facts, name)
-            try:
-                kept = catalog.table(name).join(paths, F.col(own[name]) == F.col("__path"), "left_anti")
-                fresh = kept.unionByName(fresh)
-            except Exception:  # noqa: S110  no table yet: the batch is all there is
-                pass
-            catalog.write(name, materialize(fresh, "merged"))
-
-    return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def apply(batch: DataFrame, _: int) -> None:
+        rows = keep_last(materialize(batch, "batch"), ["path"], ["time", "content"]).drop("time")
+        listed = materialize(trees.listing(engine.spark, engine.root), "listing")
+        if local := trees.local_folder(engine.root):  # streams of files don't show names that begin with an underscore
+            unseen = trees.read_local(listed.where(F.col("path").rlike("(^|/)_")), local)
+            rows = rows.unionByName(trees.file_rows(unseen, ""))
+        rows = materialize(rows.join(listed, "path", "left_semi"), "kept")
+        old = engine.table("file").select("path", F.col("content").alias("__content"), F.lit(True).alias("__there"))
+        state = F.when(F.col("__there").isNull(), "added").when(~F.col("content").eqNullSafe(F.col("__content")), "changed")
+        new = rows.join(old, "path", "left").select("path", state.alias("state")).where("state is not null")
+        gone = engine.table("file").select("path").join(listed, "path", "left_anti").select("path", F.lit("deleted").alias("state"))
+        engine.apply(rows, materialize(new.unionByName(gone), "changes"))
+
+    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -11,7 +11,6 @@ from lodestone.functions.ids import fnv1a64, fnv_series
 from lodestone.operators import report
 from lodestone.plans import guard, hints
 from lodestone.sources import files as trees
-from lodestone.streaming.refresh import file_stream, refresh
 
 import pandas as pd
 
@@ -127,14 +126,3 @@ def test_fnv():
     texts = ["", "a", None, "foobar", "é"]
     assert list(fnv_series(pd.Series(texts))) == [None if t is None else f"{fnv1a64(t):016x}" for t in texts]
     assert f"{fnv1a64('foobar'):016x}" == "85944171f73967e8"
-
-
-def test_streaming_refresh(spark, tmp_path):
-    root = tmp_path / "src"
-    root.mkdir()
-    catalog = Catalog(spark, str(tmp_path / "house"), str(root))
-    for k in (1, 2):
-        (root / f"m{k}.py").write_text(f"def f{k}():\n    pass\n")
-        refresh(catalog, file_stream(spark, str(root)), str(tmp_path / "cp"), ["file", "symbol"]).awaitTermination()
-    assert {r["name"] for r in catalog.table("symbol").collect()} == {"f1", "f2"}
-    assert catalog.table("file").count() == 2
