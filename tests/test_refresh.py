@@ -56,7 +56,6 @@ def same_as_built(spark, engine, tmp_path, label):
 STEPS = [
     {"b.py": "def help(x):\n    return other(x)\n\ndef other(x):\n    return help(x)\n", "b/__init__.py": "from b import help\n", "src/n.rs": None},
     {"c/e.py": None, "src/n.rs": "pub trait Form { }\npub fn helper() {}\n", "w/Space.cs": "namespace My.Room { public class Thing { } }\n", "lib/c/e.py": "class Base:\n    def work(self): pass\n    def more(self): self.work()\n"},
-    {"w/Space.cs": TREE["w/Space.cs"], "t/y.ts": None, "t/y/index.ts": "export function q(a) { return a; }\n", "a.py": TREE["a.py"] + "\ndef q(): pass\n", "src/n.rs": TREE["src/n.rs"]},
 ]
 
 
