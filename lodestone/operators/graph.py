@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.fixpoint import fixpoint
 from lodestone.scratch import materialize
 
 
@@ -46,19 +47,15 @@ def cycles3(edges: DataFrame) -> DataFrame:
 def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """``(node, depth)``: nodes within ``depth`` steps of the seeds, at their least depth.
 
-    A frontier walk: each round joins only nodes that are new, so work follows distinct
-    nodes, never paths.  The edges and every round are cut as tables.
+    A fixpoint with the node as key: each round joins only nodes that are new, so work
+    follows distinct nodes, never paths.
     """
-    edges = materialize(edges.select("src", "dst").distinct(), "edges")
-    seen = materialize(seeds.select("node").distinct().select("node", F.lit(0).alias("depth")), "reach")
-    front = seen
-    for d in range(1, depth + 1):
-        step = front.join(edges.select(F.col("src").alias("node"), F.col("dst").alias("next")), "node").select(F.col("next").alias("node")).distinct()
-        front = materialize(step.join(seen.select("node"), "node", "left_anti").select("node", F.lit(d).alias("depth")), "front")
-        if not front.limit(1).count():
-            break
-        seen = seen.unionByName(front)
-    return seen
+    edges = materialize(edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct(), "edges")
+
+    def step(front: DataFrame) -> DataFrame:
+        return front.where(F.col("depth") < depth).join(edges, "node").select(F.col("next").alias("node"), (F.col("depth") + 1).alias("depth"))
+
+    return fixpoint(seeds.select("node", F.lit(0).alias("depth")), step, ["node"], depth + 1)
 
 
 def reach_pairs(edges: DataFrame, depth: int) -> DataFrame:

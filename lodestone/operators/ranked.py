@@ -29,3 +29,12 @@ def first_then_rest(rows: DataFrame, first: DataFrame, rest: DataFrame, key: str
     """``first``, and of ``rest`` what belongs to keys that ``first`` has no row for."""
     remaining = rows.select(key).join(first.select(key).distinct(), key, "left_anti").distinct()
     return first.unionByName(rest.join(remaining, key, "left_semi"))
+
+
+def top_of_each(outer: DataFrame, inner: DataFrame, key: str, inner_key: str, order: list[Column], k: int) -> DataFrame:
+    """Each row of ``outer`` with the first ``k`` rows of ``inner`` of its key, by ``order``: a correlated lateral join.
+
+    The planner ranks ``inner`` within its keys before the two meet, so no more than k rows
+    a key are joined.
+    """
+    return outer.lateralJoin(inner.where(F.col(inner_key) == F.col(key).outer()).orderBy(*order).limit(k))

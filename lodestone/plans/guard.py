@@ -10,7 +10,7 @@ from collections.abc import Mapping
 from typing import Any
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 MAX_ROWS, MAX_LINES = 200, 400
@@ -21,6 +21,12 @@ ALIASES = {
     "regexp_matches": "(s STRING, p STRING) RETURNS BOOLEAN RETURN s RLIKE p",
     "list_contains": "(l ARRAY<STRING>, x STRING) RETURNS BOOLEAN RETURN array_contains(l, x)",
     "array_len": "(l ARRAY<STRING>) RETURNS BIGINT RETURN size(l)",
+    "string_split": "(s STRING, d STRING) RETURNS ARRAY<STRING> RETURN split(s, concat('\\\\Q', d, '\\\\E'))",
+    "regexp_full_match": "(s STRING, p STRING) RETURNS BOOLEAN RETURN s RLIKE concat('^(?:', p, ')$')",
+    "list_distinct": "(l ARRAY<STRING>) RETURNS ARRAY<STRING> RETURN array_distinct(l)",
+    "list_sort": "(l ARRAY<STRING>) RETURNS ARRAY<STRING> RETURN array_sort(l)",
+    "strpos": "(s STRING, x STRING) RETURNS BIGINT RETURN instr(s, x)",
+    "epoch_us": "(t TIMESTAMP) RETURNS BIGINT RETURN unix_micros(t)",
 }
 
 #: Logical operators that only read.  Anything else in an analysed plan is refused; files and tables are read through temporary views alone.
@@ -134,10 +140,16 @@ def to_json(value: Any) -> Any:
 
 
 def envelope(rows: DataFrame, limit: int = MAX_ROWS) -> dict[str, Any]:
-    """``headers, rows, total_rows, truncated``: at most ``limit`` rows come to the driver, the count is exact."""
-    first = rows.limit(limit + 1).collect()
-    total = len(first) if len(first) <= limit else rows.count()
-    return {"headers": rows.columns, "rows": [[to_json(x) for x in r] for r in first[:limit]], "total_rows": total, "truncated": total > limit}
+    """``headers, rows, total_rows, truncated``: the first ``limit`` rows and the exact count, of one execution.
+
+    Rows are counted as they pass; the first are those of the least place, which each task
+    keeps for itself, so a task hands on at most ``limit`` rows.
+    """
+    counted = Observation()
+    placed = rows.observe(counted, F.count(F.lit(1)).alias("n")).withColumn("__place", F.monotonically_increasing_id())
+    first = placed.orderBy("__place").limit(limit).collect()
+    total = counted.get["n"]
+    return {"headers": rows.columns, "rows": [[to_json(x) for x in tuple(r)[:-1]] for r in first], "total_rows": total, "truncated": total > limit}
 
 
 def query(spark: SparkSession, sql: str, params: Mapping[str, Any] | None = None) -> str:

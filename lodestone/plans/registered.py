@@ -12,7 +12,8 @@ from lodestone.functions.ids import fnv_hex
 from lodestone.operators import graph, intervals, lookup, report
 from lodestone.operators.anti import unshared
 from lodestone.operators.dedupe import keep_first, keep_last
-from lodestone.operators.ranked import filter_or_all, first_then_rest, ranked_resolve
+from lodestone.operators.fixpoint import fixpoint
+from lodestone.operators.ranked import filter_or_all, first_then_rest, ranked_resolve, top_of_each
 from lodestone.scratch import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -564,3 +565,64 @@ def q_sessions(spark, d):
 def q_tumbling(spark, d):
     day = F.window("ts", "1 day")["start"]
     return table(spark, d, "events").groupBy("event_type", micros(day).alias("day")).agg(N().alias("n"))
+
+
+# --- recursion, lateral joins and other members of the dialect --------------------------------
+
+
+@registered(f"""WITH RECURSIVE e AS ({EDGES_SQL}), w(node, parity) AS (SELECT CAST(8 AS BIGINT), 0 UNION SELECT e.dst, 1 - w.parity FROM w JOIN e ON e.src = w.node)
+SELECT node, parity FROM w""")
+def q_fixpoint(spark, d):
+    steps = materialize(edges(spark, d), "edges").withColumnRenamed("src", "node")
+    return fixpoint(spark.createDataFrame([(8, 0)], "node long, parity int"), lambda front: front.join(steps, "node").select(F.col("dst").alias("node"), (1 - F.col("parity")).alias("parity")))
+
+
+@registered("SELECT o_orderkey, l.l_linenumber, l.l_extendedprice FROM orders, LATERAL (SELECT l_linenumber, l_extendedprice FROM lineitem WHERE l_orderkey = o_orderkey ORDER BY l_extendedprice DESC, l_linenumber LIMIT 3) l")
+def q_lateral_top(spark, d):
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    top = top_of_each(table(spark, d, "orders").select("o_orderkey"), lines, "o_orderkey", "l_orderkey", [F.desc("l_extendedprice"), F.col("l_linenumber")], 3)
+    return top.select("o_orderkey", "l_linenumber", "l_extendedprice")
+
+
+@registered("SELECT p_partkey, count(l_orderkey) AS n FROM lineitem RIGHT JOIN part ON p_partkey = l_partkey AND l_quantity > 48 GROUP BY p_partkey")
+def q_right_join(spark, d):
+    lines, part = table(spark, d, "lineitem").where("l_quantity > 48"), table(spark, d, "part")
+    return lines.join(part, F.col("p_partkey") == F.col("l_partkey"), "right").groupBy("p_partkey").agg(F.count("l_orderkey").alias("n"))
+
+
+@registered("SELECT p_partkey, p_name LIKE '%a%e%' AS named, p_size BETWEEN 10 AND 20 AS middle, nullif(p_size, 7) IS DISTINCT FROM nullif(p_partkey % 50, 7) AS other FROM part")
+def q_predicates(spark, d):
+    other = ~F.nullif("p_size", F.lit(7)).eqNullSafe(F.nullif(F.col("p_partkey") % 50, F.lit(7)))
+    return table(spark, d, "part").select("p_partkey", F.col("p_name").like("%a%e%").alias("named"), F.col("p_size").between(10, 20).alias("middle"), other.alias("other"))
+
+
+@registered("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 40")
+def q_offset(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").offset(40).limit(25)
+
+
+@registered("""SELECT 'both' AS part, k, count(*) AS n FROM (SELECT o_custkey % 100 AS k FROM orders INTERSECT ALL SELECT c_custkey % 100 FROM customer) GROUP BY k
+UNION ALL SELECT 'left' AS part, k, count(*) AS n FROM (SELECT o_custkey % 100 AS k FROM orders EXCEPT ALL SELECT c_custkey % 100 FROM customer) GROUP BY k""")
+def q_all_sets(spark, d):
+    left = table(spark, d, "orders").select((F.col("o_custkey") % 100).alias("k"))
+    right = table(spark, d, "customer").select((F.col("c_custkey") % 100).alias("k"))
+    both, rest = left.intersectAll(right).withColumn("part", F.lit("both")), left.exceptAll(right).withColumn("part", F.lit("left"))
+    return both.unionByName(rest).groupBy("part", "k").agg(N().alias("n"))
+
+
+@registered("SELECT event_type, count(*) AS n, count(TRY_CAST(split_part(props, ':', 2) AS BIGINT)) AS whole FROM events GROUP BY event_type")
+def q_try_cast(spark, d):
+    return table(spark, d, "events").groupBy("event_type").agg(N().alias("n"), F.count(F.split_part("props", F.lit(":"), F.lit(2)).try_cast("bigint")).alias("whole"))
+
+
+@registered("""SELECT p_partkey, nth_value(p_partkey, 2) OVER w AS second, round(cume_dist() OVER w * 1000000) / 1000000 AS share FROM part
+WINDOW w AS (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey)""")
+def q_nth_cume(spark, d):
+    w = Window.partitionBy("p_brand").orderBy("p_retailprice", "p_partkey")
+    return table(spark, d, "part").select("p_partkey", F.nth_value("p_partkey", 2).over(w).alias("second"), (F.round(F.cume_dist().over(w) * 1000000) / 1000000).alias("share"))
+
+
+@registered("SELECT v.label, count(*) AS n FROM part JOIN (VALUES (1, 10, 'small'), (11, 30, 'middle'), (31, 99, 'large')) v(lo, hi, label) ON p_size BETWEEN v.lo AND v.hi GROUP BY v.label")
+def q_values(spark, d):
+    classes = spark.createDataFrame([(1, 10, "small"), (11, 30, "middle"), (31, 99, "large")], "lo int, hi int, label string")
+    return table(spark, d, "part").join(F.broadcast(classes), F.col("p_size").between(F.col("lo"), F.col("hi"))).groupBy("label").agg(N().alias("n"))  # three rows
