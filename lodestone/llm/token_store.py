@@ -38,7 +38,7 @@ from lodestone.scratch import drop, scratch_path
 MIN_CHUNK, CHUNK_BITS, MAX_CHUNK = 64, 10, 16384
 #: Bytes, objects included, that one generation of a memo may take; a worker holds two.  An entry costs ENTRY bytes beside its
 #: key and value, words of over LONG_WORD bytes aren't kept, and a memo turns every TURN words at most.
-MEMO_BYTES, ENTRY, LONG_WORD, TURN = 96 << 20, 200, 64, 1 << 16
+MEMO_BYTES, ENTRY, LONG_WORD, TURN = 144 << 20, 200, 64, 1 << 16
 #: Text bytes that a task encodes at a time.
 SLICE_BYTES = 1 << 20
 #: A recipe's node in the lowest level of the manifest covers this many ids' worth of starts (in bits).
@@ -53,6 +53,8 @@ ENCODED = "doc_id long, n_tokens long, digests array<binary>, lens array<int>, p
 #: Words of ASCII and Latin letters without apostrophes: the splitter parts them as RUNS does, and they lower-case letter by letter.
 PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+")
 RUNS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^A-Za-z0-9À-ÖØ-öø-ÿ]+")
+#: Marks that are a run of their own behind a word of letters.
+MARKS = frozenset(b".,;:!?")
 
 
 class Memo(dict):
@@ -121,6 +123,8 @@ class WordEncoder:
         if word.isalpha():  # of bytes: ASCII letters, which are one run
             low = word.lower()
             return self.run(word) if low == word else self.memo[low]
+        if word[-1] in MARKS and word[:-1].isalpha():  # and then one mark: two runs
+            return self.memo[word[:-1].lower()] + self.memo[word[-1:]]
         text = word.decode("utf-8", "replace")
         if PLAIN.fullmatch(text) and "<|" not in text:
             runs = [r.encode() for r in RUNS.findall(text.lower())]
