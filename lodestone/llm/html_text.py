@@ -1,8 +1,9 @@
 """Main text of HTML pages by consensus host paths.
 
-Each page's containers are scored by the running text they hold.  Every page votes with
-its best containers' generalised paths (tags and classes, digits removed); votes are
-summed by host in Spark; each page is then read again with its host's winning paths.
+Each page's containers are scored by the running text they hold.  The best are grown by
+what belongs to them beside them and above them.  Every page votes with its best ones'
+generalised paths (tags and classes, digits removed) and the places of what they grew by;
+votes are summed by host in Spark; each page is then read again with its host's winners.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -29,8 +31,10 @@ ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe object svg math canvas audio video textarea select title".split())
 DROPPED = RAW | frozenset("nav footer aside form button dialog menu head option label fieldset".split())
-BLOCK = frozenset("html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr blockquote pre figure figcaption hr header footer nav aside form fieldset address details summary".split())
+BLOCK = frozenset("html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption hr header footer nav aside form fieldset address details summary".split())
 CONTAINER = frozenset("html body article main section div td blockquote".split())
+#: Of these, what an article may be.  A quotation or a cell is a part of one.
+CHOICE = CONTAINER - {"td", "blockquote"}
 #: A start tag of the first closes an open element of the second (without passing a container).
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Words of class names and ids that mark what isn't the article.
@@ -44,6 +48,9 @@ BOX = re.compile(r"(?:area|articles|bar|block|body|box|button|buttons|count|form
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 #: Paths that a host's pages may be read with, in order of their votes; and the share of a page's best score that one must reach.
 WINNERS, ENOUGH = 5, 0.3
+#: What stands beside the article is a part of it from this share of its running text on, if no more than the next share is links; a voted one, or one between two parts, may have more links.
+SHARE, LINKED, VOTED = 0.2, 0.3, 0.5
+RIGHTS = re.compile(r"\s*(?:©|\(c\)|copyright\b)", re.I)
 
 
 class Node:
@@ -186,10 +193,10 @@ def scored(html: str) -> tuple[list[Node], list[list], dict[tuple[int, str], int
     """Parsed, with scores: a block gives its running text's length to its container, and half to the one above."""
     nodes, runs, paths = parse(html)
     for node, text, linked in blocks(runs):
-        gain = max(len(text) - 1.5 * linked, 0) + 10 * text.count(",")
+        gain = 0 if RIGHTS.match(text) else max(len(text) - 1.5 * linked, 0) + 10 * text.count(",")
         share = 1.0
         while node is not None and share >= 0.5:
-            if node.tag in CONTAINER:
+            if node.tag in CHOICE:
                 node.score += gain * share * (1.5 if node.tag in ("article", "main") else 1.0)
                 share /= 2
             node = node.parent
@@ -200,22 +207,126 @@ def best(nodes: list[Node], n: int) -> list[Node]:
     return sorted((x for x in nodes if x.score > 0), key=lambda x: (-x.score, x.start, -x.end))[:n]
 
 
+class Page:
+    """A parsed page with the lengths of its text and links up to each run."""
+
+    def __init__(self, html: str):
+        self.nodes, self.runs, self.paths = scored(html)
+        self.top = best(self.nodes, 3)
+        lengths = [len(r[2].strip()) for r in self.runs]
+        self.chars = [0, *accumulate(lengths)]
+        self.links = [0, *accumulate(n * r[3] for n, r in zip(lengths, self.runs))]
+
+    def gain(self, start: int, end: int) -> float:
+        return self.chars[end] - self.chars[start] - 1.5 * (self.links[end] - self.links[start])
+
+    def linked(self, start: int, end: int) -> float:
+        return (self.links[end] - self.links[start]) / max(self.chars[end] - self.chars[start], 1)
+
+    def parts(self, parent: Node, children: list[Node]) -> list[tuple[int, int, Node | None]]:
+        """What ``parent`` is made of, in page order: its block elements, and what is between them as one part each."""
+        found, at = [], parent.start
+        for child in children:
+            if child.tag in BLOCK or child.tag in CONTAINER:
+                found += [(at, child.start, None), (child.start, child.end, child)]
+                at = child.end
+        return [p for p in [*found, (at, parent.end, None)] if self.chars[p[1]] > self.chars[p[0]]]
+
+    def grown(self, core: Node, voted: frozenset[str] = frozenset()) -> tuple[Node, list[tuple[int, int]], set[str]]:
+        """The article around ``core``: its element, its runs, and the places (depth and step) of containers that it grew by.
+
+        A core inside an article element is the whole element.  Upwards from it, a part of an
+        ancestor belongs to it if it has few links and is a container of like length, of the
+        same named step as the one it stands beside (articles beside articles need the length),
+        or voted by the host; a headline before a core that has none; other text right beside
+        it, or long; and whatever stands between two such parts.  Beside an article element
+        only articles and a headline are looked for.
+        """
+        above = core
+        while above is not None and above.tag != "article":
+            above = above.parent
+        core = above or core
+        chain = [core]
+        while chain[-1].parent is not None:
+            chain.append(chain[-1].parent)
+        children: dict[int, list[Node]] = {id(x): [] for x in chain[1:]}
+        titled = False
+        for x in self.nodes:
+            if x.parent is not None and id(x.parent) in children:
+                children[id(x.parent)].append(x)
+            titled = titled or (x.tag == "h1" and core.start <= x.start and x.end <= core.end and x.end > x.start)
+        depth = sum(bool(x.step) for x in chain[1:])
+        whole, alone = self.gain(core.start, core.end), core.tag == "article"
+        spans, places, beside, near = [(core.start, core.end)], set(), core.step, True
+        for inner, parent in zip(chain, chain[1:]):
+            parts = self.parts(parent, children[id(parent)])
+            page = parent.tag in ("html", "body")
+            taken = []
+            for start, end, part in parts:
+                links, text = self.linked(start, end), self.gain(start, end)
+                long = text >= SHARE * whole and links <= LINKED
+                place = f"{depth}>{part.step}" if part is not None and part.tag in CHOICE else ""
+                rights = RIGHTS.match("".join(r[2] for r in self.runs[start : min(end, start + 3)])) is not None
+                if part is inner or inner.start <= start and end <= inner.end:
+                    ok = True
+                elif rights:
+                    ok = False
+                elif place and alone:
+                    ok = part.tag == "article" and long
+                elif place:
+                    same = part.step == beside != part.tag or part.step == beside == "section"
+                    ok = long or (same and part.tag != "article" and links <= LINKED) or (place in voted and links <= VOTED)
+                elif part is not None and part.tag in ("h1", "h2") and end <= inner.start:
+                    ok = not titled and links <= LINKED
+                else:
+                    ok = not alone and (long or (near and not page and links <= LINKED))
+                taken.append(ok)
+            first, last = taken.index(True) if True in taken else 0, len(taken) - 1 - taken[::-1].index(True) if True in taken else -1
+            grew = False
+            for k, (start, end, part) in enumerate(parts):
+                if part is inner or inner.start <= start and end <= inner.end:
+                    continue
+                if taken[k] or (first < k < last and not alone and self.linked(start, end) <= VOTED):
+                    spans.append((start, end))
+                    if part is not None and part.tag in CHOICE:
+                        places.add(f"{depth}>{part.step}")
+                        grew = True
+            # a container that adds nothing is a wrapper: what is beside it is beside the article
+            near = near and not grew and len(parts) == 1
+            beside = parent.step or beside
+            depth -= bool(parent.parent is not None and parent.step)
+        return core, sorted(spans), places
+
+    def votes(self) -> list[tuple[str, int]]:
+        """Places of the best containers with their grown parts, as one string each, and a vote of up to 1000."""
+        found: dict[str, int] = {}
+        for x in self.top:
+            core, _, places = self.grown(x)
+            key = " ".join([spelled(core), *sorted(places)])
+            found[key] = max(found.get(key, 0), int(1000 * x.score / self.top[0].score))
+        return list(found.items())
+
+    def text(self, winners: list[str]) -> str:
+        if not self.top:
+            return ""
+        core, voted = self.top[0], frozenset()
+        for winner in winners:
+            path, *places = winner.split(" ")
+            number: int | None = 0
+            for step in path.split("/")[1:]:
+                number = self.paths.get((number, step)) if step else number
+            on = [x for x in self.nodes if x.path == number and x.tag in CHOICE and not x.junk]
+            on = sorted(on, key=lambda x: (-self.gain(x.start, x.end), x.start, -x.end))[:1]
+            if on and self.gain(on[0].start, on[0].end) >= ENOUGH * self.gain(self.top[0].start, self.top[0].end) > 0:
+                core, voted = on[0], frozenset(places)
+                break
+        _, spans, _ = self.grown(core, voted)
+        return "\n\n".join(text for _, text, _ in blocks([r for start, end in spans for r in self.runs[start:end]]))
+
+
 def main_text(html: str, winners: list[str]) -> str:
-    """The text of the container on the host's first winning path that holds enough, or of the page's own best one."""
-    nodes, runs, paths = scored(html)
-    top = best(nodes, 1)
-    if not top:
-        return ""
-    chosen = top[0]
-    for path in winners:
-        number: int | None = 0
-        for step in path.split("/")[1:]:
-            number = paths.get((number, step))
-        on = best([x for x in nodes if x.path == number and x.tag in CONTAINER], 1)
-        if on and on[0].score >= ENOUGH * top[0].score:
-            chosen = on[0]
-            break
-    return "\n\n".join(text for _, text, _ in blocks(runs[chosen.start : chosen.end]))
+    """The text of the article around the host's first winning path that holds enough, or around the page's own best container."""
+    return Page(html).text(winners)
 
 
 def host(url: Column) -> Column:
@@ -223,15 +334,13 @@ def host(url: Column) -> Column:
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """``(host, winners)``: each host's paths with most votes.  Votes are summed before they are ordered, so a hot host is a few rows."""
+    """``(host, winners)``: each host's paths, with the places of what belongs to them, with most votes.  Votes are summed before they are ordered, so a hot host is a few rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in slices(batches, ["host", "html"]):
             votes = []
             for name, raw in rows:
-                nodes, _, _ = scored((raw or b"").decode("utf-8", "replace"))
-                top = best(nodes, 3)
-                votes += [(name, spelled(x), int(1000 * x.score / top[0].score)) for x in top]
+                votes += [(name, *vote) for vote in Page((raw or b"").decode("utf-8", "replace")).votes()]
             columns = zip(*votes) if votes else ([], [], [])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()))], ["host", "path", "vote"])
 
