@@ -18,10 +18,15 @@ from lodestone.functions.ids import fnv1a64
 from lodestone.operators.dedupe import keep_last
 from lodestone.scratch import drop, materialize
 
-#: Columns that lookups filter on: tables are laid out by them, so file statistics prune (there are no indexes).
+#: Columns that lookups filter on: tables are laid out by them, so the statistics of row groups and pages prune.
 LAYOUT = {
     "symbol": ["name"], "imports": ["imported_id"], "comment": ["file_path"], "occurrence": ["name"], "binding": ["name"],
-    "scope": ["file_path"], "call_site": ["callee_name"],
+    "scope": ["file_path"], "call_site": ["callee_name"], "call_edge": ["callee_id"], "extends": ["parent_id"],
+}
+#: Columns of further lookups, on which the rows aren't ordered: a Parquet bloom filter for each row group prunes (a dictionary does where there is a whole one).
+INDEXED = {
+    "symbol": ["id", "file_path"], "imports": ["importer_file_id"], "occurrence": ["enclosing_symbol_id"], "binding": ["scope_id"],
+    "call_site": ["id", "caller_id"], "call_edge": ["caller_id"], "extends": ["child_id"], "comment": ["documents_id"],
 }
 
 #: The columns beside the declared ones: the file that a row belongs to, and its bucket.
@@ -39,6 +44,14 @@ class Catalog:
     def table(self, name: str) -> DataFrame:
         return self._stored(name).select([f.name for f in schemas.schema(name).fields])
 
+    def of_files(self, name: str, *paths: str) -> DataFrame:
+        """The rows of a table that belong to the files ``paths``: of their buckets alone, whose numbers are known when the query is planned."""
+        rows = self._stored(name)
+        if not paths:
+            return self.table(name).limit(0)
+        numbers = [bucket(F.lit(p)) for p in paths]
+        return rows.where(F.col(BUCKET).isin(numbers) & F.col(OWNER).isin(*paths)).select(self.table(name).columns)
+
     def _stored(self, name: str) -> DataFrame:
         schema = schemas.schema(name).add(OWNER, "string").add(BUCKET, "integer")
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
@@ -58,7 +71,8 @@ class Catalog:
 
     def _put(self, name: str, rows: DataFrame, mode: str) -> None:
         by = [BUCKET, *LAYOUT.get(name, [OWNER])]
-        rows.hint("rebalance", BUCKET).sortWithinPartitions(*by).write.mode(mode).partitionBy(BUCKET).parquet(f"{self.path}/{name}")
+        filters = {f"parquet.bloom.filter.enabled#{c}": "true" for c in INDEXED.get(name, [])} | {"parquet.bloom.filter.adaptive.enabled": "true"}
+        rows.hint("rebalance", BUCKET).sortWithinPartitions(*by).write.mode(mode).options(**filters).partitionBy(BUCKET).parquet(f"{self.path}/{name}")
 
     def write(self, name: str, rows: DataFrame, owner: str | None = None, order: list[str] | None = None, unique: bool = False) -> None:
         """Writes a whole table; ``owner`` names the column with the path of each row's file; ``unique`` says that no key is there twice."""

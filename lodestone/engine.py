@@ -141,7 +141,7 @@ class Engine:
         return guard.query(self.spark, sql, params)
 
     def read_source(self, path: str, start: int = 1, end: int = guard.MAX_LINES) -> str:
-        return guard.read_source(self.table("file"), path, start, end)
+        return guard.read_source(self.catalog.of_files("file", path), path, start, end)
 
 
 def run_reviews(engine: Engine, reviews: Mapping[str, Reviewer], workers: int = 4) -> tuple[DataFrame, list[str]]:
