@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,6 +15,7 @@ from lodestone.operators.anti import unshared
 from lodestone.operators.dedupe import keep_first, keep_last
 from lodestone.operators.fixpoint import fixpoint
 from lodestone.operators.ranked import filter_or_all, first_then_rest, ranked_resolve, top_of_each
+from lodestone.plans import hints, resolution
 from lodestone.scratch import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -626,3 +628,96 @@ def q_nth_cume(spark, d):
 def q_values(spark, d):
     classes = spark.createDataFrame([(1, 10, "small"), (11, 30, "middle"), (31, 99, "large")], "lo int, hi int, label string")
     return table(spark, d, "part").join(F.broadcast(classes), F.col("p_size").between(F.col("lo"), F.col("hi"))).groupBy("label").agg(N().alias("n"))  # three rows
+
+
+# --- resolution and analyses over facts made of orders and their lines ------------------------
+
+SYMBOLS = """SELECT 's' || o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'class' WHEN 1 THEN 'function' WHEN 4 THEN 'field' ELSE 'method' END AS kind,
+ CASE WHEN o_orderkey % 5 = 4 THEN 'v' || (o_orderkey % 9) ELSE 'n' || (o_orderkey % 211) END AS name,
+ 'f' || (o_custkey % 60) || '.n' || (o_orderkey % 211) AS qualified_name, 'f' || (o_custkey % 60) AS file_path,
+ CASE WHEN o_orderkey % 5 > 1 THEN 's' || (o_orderkey - o_orderkey % 5) END AS parent_id, o_orderstatus <> 'F' AS exported FROM orders"""
+SPANS = """SELECT 's' || o_orderkey AS entity_id, 'f' || (o_custkey % 60) AS file_path, CAST(o_orderkey % 1000 AS BIGINT) AS start_line,
+ CAST(o_orderkey % 1000 + o_custkey % 200 AS BIGINT) AS end_line FROM orders"""
+IMPORTS = """SELECT DISTINCT importer_file_id, imported_id FROM (SELECT 'f' || (l_suppkey % 60) AS importer_file_id, 'f' || ((l_suppkey * 7 + l_linenumber) % 60) AS imported_id FROM lineitem) AS e
+ WHERE importer_file_id <> imported_id"""
+SITES = """SELECT l_orderkey || '-' || l_linenumber AS id, 's' || l_orderkey AS caller_id, 'n' || (l_partkey % 211) AS callee_name,
+ CASE l_linenumber WHEN 1 THEN 'self' WHEN 2 THEN 'this' WHEN 3 THEN 'v' || (l_suppkey % 9) WHEN 4 THEN 'v' || (l_partkey % 9) END AS receiver,
+ 'f' || (o_custkey % 60) AS file_path FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
+LOCALS = "SELECT 'f' || (c_custkey % 60) AS file_path, 'v' || (c_nationkey % 9) AS name, 'n' || (c_custkey % 211) AS type_name FROM customer"
+PARAMETERS = "SELECT 's' || o_orderkey AS function_id, 'v' || (o_custkey % 9) AS name, CASE WHEN o_orderkey % 5 <> 4 THEN 't' || (o_custkey % 211) END AS type_id FROM orders"
+FIELDS = "SELECT 's' || o_orderkey AS symbol_id, 't' || (o_custkey % 211) AS type_id FROM orders WHERE o_orderkey % 5 = 4"
+TYPES = "SELECT DISTINCT 't' || (p_partkey % 211) AS id, 'n' || (p_partkey % 211) AS display_name FROM part"
+HEIRS = """SELECT 'f' || (o_custkey % 60) AS file_path, 'n' || (o_orderkey % 211) AS child_name, 'class' AS child_kind, CAST(o_orderkey AS BIGINT) AS child_start_line,
+ CAST(l_linenumber AS BIGINT) AS child_start_col, 'n' || (l_partkey % 211) AS parent_leaf, CASE WHEN l_quantity < 25 THEN 'extends' ELSE 'implements' END AS kind
+ FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
+
+
+def facts(spark: SparkSession, d: str, *relations: str) -> list[DataFrame]:
+    """The relations above as DataFrames; their text means the same to Spark and to DuckDB."""
+    out = []
+    for sql in relations:
+        for name in ("orders", "lineitem", "customer", "part"):
+            sql = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 {{{name}}}", sql)
+        used = {n: table(spark, d, n) for n in ("orders", "lineitem", "customer", "part") if f"{{{n}}}" in sql}
+        out.append(spark.sql(sql, **used))
+    return out
+
+
+HEIRS_RANKED = f"""found AS (SELECT c.id AS child_id, h.child_start_line, h.child_start_col, h.parent_leaf, h.kind, p.id AS parent_id,
+  CASE WHEN p.file_path = h.file_path THEN 1 WHEN EXISTS (SELECT 1 FROM imp i WHERE i.importer_file_id = h.file_path AND i.imported_id = p.file_path) THEN 2 ELSE 3 END AS priority
+  FROM ({HEIRS}) h JOIN sym c ON c.file_path = h.file_path AND c.name = h.child_name AND c.kind = h.child_kind JOIN sym p ON p.name = h.parent_leaf AND p.id <> c.id),
+ best AS (SELECT *, row_number() OVER (PARTITION BY child_id, child_start_line, child_start_col, parent_leaf, kind ORDER BY priority, parent_id) AS place FROM found)"""
+
+
+@registered(f"WITH sym AS ({SYMBOLS}), imp AS ({IMPORTS}), {HEIRS_RANKED} SELECT DISTINCT kind, child_id, parent_id FROM best WHERE place = 1")
+def q_resolve_inheritance(spark, d):
+    extends, implements = resolution.resolve_inheritance(*facts(spark, d, HEIRS, SYMBOLS, IMPORTS))
+    some = implements.select(F.lit("implements").alias("kind"), F.col("impl_id").alias("child_id"), F.col("interface_id").alias("parent_id"))
+    return extends.select(F.lit("extends").alias("kind"), "child_id", "parent_id").unionByName(some)
+
+
+@registered(f"""WITH sym AS ({SYMBOLS}), imp AS ({IMPORTS}), {HEIRS_RANKED}, extends AS (SELECT DISTINCT child_id, parent_id FROM best WHERE place = 1 AND kind = 'extends')
+ SELECT c.file_path, c.name AS child, p.name AS parent FROM extends e JOIN sym c ON c.id = e.child_id JOIN sym p ON p.id = e.parent_id""")
+def q_inheritance_pairs(spark, d):
+    heirs, symbol, imports = facts(spark, d, HEIRS, SYMBOLS, IMPORTS)
+    return hints.inheritance_pairs(resolution.resolve_inheritance(heirs, symbol, imports)[0], symbol)
+
+
+@registered(f"""WITH sym AS ({SYMBOLS}), imp AS ({IMPORTS}), callable AS (SELECT * FROM sym WHERE kind IN ('function', 'method')),
+ owned AS (SELECT t.*, s.parent_id AS class_id FROM ({SITES}) t LEFT JOIN sym s ON s.id = t.caller_id),
+ own AS (SELECT o.id AS site, o.caller_id, c.id AS callee_id, o.file_path FROM owned o JOIN callable c ON c.parent_id = o.class_id AND c.name = o.callee_name WHERE o.receiver IN ('self', 'this')),
+ rest AS (SELECT * FROM owned WHERE id NOT IN (SELECT site FROM own)),
+ candidate AS (SELECT r.id AS site, r.caller_id, c.id AS callee_id, c.parent_id, r.file_path FROM rest r JOIN callable c ON c.file_path = r.file_path AND c.name = r.callee_name
+  UNION SELECT r.id, r.caller_id, c.id, c.parent_id, r.file_path FROM rest r JOIN imp i ON i.importer_file_id = r.file_path JOIN callable c ON c.file_path = i.imported_id AND c.name = r.callee_name AND c.exported),
+ typed AS (SELECT * FROM rest WHERE receiver NOT IN ('self', 'this')),
+ known AS (SELECT t.id, l.type_name FROM typed t JOIN ({LOCALS}) l ON l.file_path = t.file_path AND l.name = t.receiver
+  UNION SELECT t.id, y.display_name FROM typed t JOIN ({PARAMETERS}) p ON p.function_id = t.caller_id AND p.name = t.receiver JOIN ({TYPES}) y ON y.id = p.type_id
+  UNION SELECT t.id, y.display_name FROM typed t JOIN sym f ON f.parent_id = t.class_id AND f.name = t.receiver JOIN ({FIELDS}) g ON g.symbol_id = f.id JOIN ({TYPES}) y ON y.id = g.type_id),
+ valid AS (SELECT DISTINCT k.id, c.id AS class_id FROM known k JOIN sym c ON c.name = k.type_name AND c.kind = 'class'),
+ marked AS (SELECT c.*, v.id IS NOT NULL AS fits FROM candidate c LEFT JOIN valid v ON v.id = c.site AND v.class_id = c.parent_id),
+ chosen AS (SELECT * FROM marked QUALIFY fits OR NOT bool_or(fits) OVER (PARTITION BY site)),
+ edge AS (SELECT caller_id, callee_id, file_path FROM own UNION ALL SELECT caller_id, callee_id, file_path FROM chosen)
+ SELECT caller_id, callee_id, max(file_path) AS file_path FROM edge WHERE caller_id <> callee_id GROUP BY caller_id, callee_id""")
+def q_resolve_calls(spark, d):
+    return resolution.resolve_calls(*facts(spark, d, SITES, SYMBOLS, IMPORTS, LOCALS, PARAMETERS, FIELDS, TYPES))
+
+
+@registered(f"SELECT id, kind, name, qualified_name, exported FROM ({SYMBOLS}) s WHERE file_path = 'f7' AND kind NOT IN ('parameter', 'variable', 'field')")
+def q_declarations(spark, d):
+    return hints.declarations(*facts(spark, d, SYMBOLS), "f7")
+
+
+@registered(f"SELECT s.name, s.kind, p.file_path, start_line, end_line FROM ({SYMBOLS}) s JOIN ({SPANS}) p ON s.id = p.entity_id WHERE s.name = 'n42'")
+def q_symbol_span(spark, d):
+    return hints.symbol_span(*facts(spark, d, SYMBOLS, SPANS), "n42")
+
+
+@registered(f"""SELECT s.name, p.file_path, end_line - start_line AS lines FROM ({SYMBOLS}) s JOIN ({SPANS}) p ON s.id = p.entity_id
+ WHERE kind IN ('function', 'method') ORDER BY lines DESC, p.file_path, s.name LIMIT 20""")
+def q_longest_functions(spark, d):
+    return hints.longest_functions(*facts(spark, d, SYMBOLS, SPANS))
+
+
+@registered(f"SELECT importer_file_id FROM ({IMPORTS}) i WHERE imported_id = 'f9'")
+def q_who_imports(spark, d):
+    return hints.who_imports(*facts(spark, d, IMPORTS), "f9")
