@@ -721,3 +721,48 @@ def q_longest_functions(spark, d):
 @registered(f"SELECT importer_file_id FROM ({IMPORTS}) i WHERE imported_id = 'f9'")
 def q_who_imports(spark, d):
     return hints.who_imports(*facts(spark, d, IMPORTS), "f9")
+
+
+OWN_FILE = """'src/d' || (o_custkey % 12) || '/m' || (o_orderkey % 40) || CASE o_orderkey % 6 WHEN 0 THEN '.ts' WHEN 1 THEN '.py' WHEN 2 THEN '.java' WHEN 3 THEN '.go' WHEN 4 THEN '.c' ELSE '.php' END"""
+FILES = f"SELECT DISTINCT {OWN_FILE} AS path FROM orders"
+#: An import of every line of an order, in the language of the order's file: x and y are the module and directory that it names.
+#: Lines may share an order and a number, so positions hold both too.
+RAW_IMPORTS = f"""SELECT file_path, position, language,
+ CASE language WHEN 'typescript' THEN CASE form WHEN 0 THEN './m' || x WHEN 1 THEN '../d' || y || '/m' || x || '.js' ELSE 'react' END
+  WHEN 'python' THEN CASE form WHEN 0 THEN 'd' || y || '.m' || x WHEN 1 THEN '.m' || x ELSE '..d' || y || '.m' || x END
+  WHEN 'java' THEN CASE form WHEN 0 THEN 'src.d' || y || '.*' ELSE 'd' || y || '.m' || x END
+  WHEN 'go' THEN CASE form WHEN 0 THEN 'example.org/src/d' || y ELSE 'fmt' END
+  WHEN 'c' THEN CASE form WHEN 0 THEN 'm' || x || '.c' ELSE '../d' || y || '/m' || x || '.c' END
+  ELSE CASE form WHEN 0 THEN 'D' || y || chr(92) || 'M' || x ELSE '../d' || y || '/m' || x || '.php' END END AS raw_path,
+ CASE WHEN form = 0 THEN 'use' ELSE 'require' END AS kind, x, y, form, own
+ FROM (SELECT {OWN_FILE} AS file_path, ((CAST(l_orderkey AS BIGINT) * 10 + l_linenumber) * 40 + l_partkey % 40) * 12 + l_suppkey % 12 AS position, l_linenumber % 3 AS form, l_partkey % 40 AS x, l_suppkey % 12 AS y, o_custkey % 12 AS own,
+ CASE o_orderkey % 6 WHEN 0 THEN 'typescript' WHEN 1 THEN 'python' WHEN 2 THEN 'java' WHEN 3 THEN 'go' WHEN 4 THEN 'c' ELSE 'php' END AS language
+ FROM lineitem JOIN orders ON l_orderkey = o_orderkey) AS i"""
+
+
+@registered(f"""WITH raw AS ({RAW_IMPORTS}), known AS ({FILES}),
+ meant AS (SELECT file_path, position, CASE language
+   WHEN 'typescript' THEN CASE form WHEN 0 THEN 'src/d' || own || '/m' || x || '.ts' WHEN 1 THEN 'src/d' || y || '/m' || x || '.ts' END
+   WHEN 'python' THEN 'src/d' || (CASE form WHEN 1 THEN own ELSE y END) || '/m' || x || '.py'
+   WHEN 'java' THEN CASE WHEN form <> 0 THEN 'src/d' || y || '/m' || x || '.java' END
+   WHEN 'c' THEN 'src/d' || (CASE form WHEN 0 THEN own ELSE y END) || '/m' || x || '.c'
+   WHEN 'php' THEN 'src/d' || y || '/m' || x || '.php' END AS path FROM raw),
+ one AS (SELECT m.* FROM meant m JOIN known k ON k.path = m.path WHERE m.path <> m.file_path),
+ anywhere AS (SELECT r.file_path, r.position, min(k.path) AS path FROM raw r JOIN known k ON split_part(k.path, '/', 3) = 'm' || r.x || '.c' AND k.path <> r.file_path
+   WHERE r.language = 'c' AND r.form = 0 AND NOT EXISTS (SELECT 1 FROM one o WHERE o.file_path = r.file_path AND o.position = r.position) GROUP BY r.file_path, r.position),
+ package AS (SELECT r.file_path, k.path FROM raw r JOIN known k ON split_part(k.path, '/', 2) = 'd' || r.y AND k.path <> r.file_path WHERE r.language IN ('go', 'java') AND r.form = 0)
+ SELECT file_path AS importer_file_id, path AS imported_id FROM one UNION SELECT file_path, path FROM anywhere UNION SELECT file_path, path FROM package""")
+def q_resolve_imports(spark, d):
+    return resolution.resolve_imports(*facts(spark, d, RAW_IMPORTS, FILES))
+
+
+@registered(f"""WITH known AS ({FILES}), ns AS (SELECT path, 'App.' || regexp_extract(path, 'd[0-9]+/m[0-9]+') AS name FROM known),
+ wanted AS (SELECT DISTINCT file_path, 'App.d' || y || '/m' || x AS name FROM ({RAW_IMPORTS}) r)
+ SELECT w.file_path AS importer_file_id, n.path AS imported_id FROM wanted w JOIN ns n ON n.name = w.name WHERE w.file_path <> n.path""")
+def q_resolve_namespaces(spark, d):
+    """Imports of namespaces: every file that declares one."""
+    raw, files = facts(spark, d, RAW_IMPORTS, FILES)
+    using = raw.select("file_path", "position", F.lit("csharp").alias("language"), F.format_string("App.d%d/m%d", "y", "x").alias("raw_path"), "kind")
+    named = F.concat(F.lit("App."), F.regexp_extract("path", "d[0-9]+/m[0-9]+", 0))
+    spaces = files.select(F.lit("csharp").alias("language"), F.lit("namespace").alias("kind"), named.alias("qualified_name"), F.col("path").alias("file_path"))
+    return resolution.resolve_imports(using, files, spaces)
