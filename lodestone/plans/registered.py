@@ -679,8 +679,7 @@ def q_resolve_inheritance(spark, d):
 @registered(f"""WITH sym AS ({SYMBOLS}), imp AS ({IMPORTS}), {HEIRS_RANKED}, extends AS (SELECT DISTINCT child_id, parent_id FROM best WHERE place = 1 AND kind = 'extends')
  SELECT c.file_path, c.name AS child, p.name AS parent FROM extends e JOIN sym c ON c.id = e.child_id JOIN sym p ON p.id = e.parent_id""")
 def q_inheritance_pairs(spark, d):
-    heirs, symbol, imports = facts(spark, d, HEIRS, SYMBOLS, IMPORTS)
-    return hints.inheritance_pairs(resolution.resolve_inheritance(heirs, symbol, imports)[0], symbol)
+    return resolution.resolve_inheritance_pairs(*facts(spark, d, HEIRS, SYMBOLS, IMPORTS))
 
 
 @registered(f"""WITH sym AS ({SYMBOLS}), imp AS ({IMPORTS}), callable AS (SELECT * FROM sym WHERE kind IN ('function', 'method')),

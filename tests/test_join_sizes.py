@@ -61,7 +61,7 @@ def odd_tables(folder, seed):
     return con
 
 
-@pytest.mark.parametrize("name", ["q_resolve_inheritance"])
+@pytest.mark.parametrize("name", ["q_resolve_inheritance", "q_inheritance_pairs"])
 def test_odd_rows_agree_with_sql(spark, tmp_path, name):
     con = odd_tables(tmp_path, 4)
     ours, theirs = registered.QUERIES[name](spark, str(tmp_path)), con.sql(registered.ORACLES[name])
