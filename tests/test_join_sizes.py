@@ -41,6 +41,16 @@ def test_many_parents_of_one_name(spark):
     assert most <= 2 * n
 
 
+def test_repeated_imports_are_resolved_once(spark):
+    n = 400
+    raw = spark.range(n).select(F.lit("src/a.py").alias("file_path"), F.col("id").alias("position"), F.lit("pkg.mod").alias("raw_path"), F.lit("python").alias("language"), F.lit("use").alias("kind"))
+    files = spark.createDataFrame([("src/a.py",), ("pkg/mod.py",)], "path string")
+    got = []
+    most = most_rows(spark, lambda: got.extend(resolution.resolve_imports(raw, files).collect()))
+    assert [tuple(r) for r in got] == [("src/a.py", "pkg/mod.py")]
+    assert most <= n
+
+
 def odd_tables(folder, seed):
     """Orders and lines with repeated keys, repeated rows and nulls."""
     r = random.Random(seed)
@@ -61,7 +71,7 @@ def odd_tables(folder, seed):
     return con
 
 
-@pytest.mark.parametrize("name", ["q_resolve_inheritance", "q_inheritance_pairs"])
+@pytest.mark.parametrize("name", ["q_resolve_inheritance", "q_inheritance_pairs", "q_resolve_imports", "q_resolve_namespaces"])
 def test_odd_rows_agree_with_sql(spark, tmp_path, name):
     con = odd_tables(tmp_path, 4)
     ours, theirs = registered.QUERIES[name](spark, str(tmp_path)), con.sql(registered.ORACLES[name])
