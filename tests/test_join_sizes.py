@@ -51,6 +51,20 @@ def test_repeated_imports_are_resolved_once(spark):
     assert most <= n
 
 
+def test_many_classes_of_one_name(spark):
+    n = 200
+    classes = [(f"c{k}", "class", "T", f"g{k}", None, True) for k in range(n)]
+    symbol = spark.createDataFrame([*classes, ("caller", "function", "run", "f", None, True), ("callee", "method", "m", "f", "c7", True), ("other", "function", "m", "f", None, True)],
+                                   "id string, kind string, name string, file_path string, parent_id string, exported boolean")
+    sites = spark.range(n).select(F.col("id").cast("string").alias("id"), F.lit("caller").alias("caller_id"), F.lit("m").alias("callee_name"), F.lit("v").alias("receiver"), F.lit("f").alias("file_path"))
+    empty = [spark.createDataFrame([], c) for c in ("name string, function_id string, type_id string", "symbol_id string, type_id string", "id string, display_name string")]
+    imports, local = spark.createDataFrame([], "importer_file_id string, imported_id string"), spark.createDataFrame([("f", "v", "T")], "file_path string, name string, type_name string")
+    got = []
+    most = most_rows(spark, lambda: got.extend(resolution.resolve_calls(sites, symbol, imports, local, *empty).collect()))
+    assert [tuple(r) for r in got] == [("caller", "callee", "f")]
+    assert most <= 4 * n
+
+
 def odd_tables(folder, seed):
     """Orders and lines with repeated keys, repeated rows and nulls."""
     r = random.Random(seed)
@@ -71,7 +85,7 @@ def odd_tables(folder, seed):
     return con
 
 
-@pytest.mark.parametrize("name", ["q_resolve_inheritance", "q_inheritance_pairs", "q_resolve_imports", "q_resolve_namespaces"])
+@pytest.mark.parametrize("name", ["q_resolve_inheritance", "q_inheritance_pairs", "q_resolve_imports", "q_resolve_namespaces", "q_resolve_calls"])
 def test_odd_rows_agree_with_sql(spark, tmp_path, name):
     con = odd_tables(tmp_path, 4)
     ours, theirs = registered.QUERIES[name](spark, str(tmp_path)), con.sql(registered.ORACLES[name])
