@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.fixpoint import fixpoint
+from lodestone.operators.ranking import with_rank
 from lodestone.scratch import materialize
 
 
@@ -58,15 +61,47 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return fixpoint(seeds.select("node", F.lit(0).alias("depth")), step, ["node"], depth + 1)
 
 
+#: Longs of a row's bitmap in ``reach_pairs``: a row stands for 64 times as many nodes.
+WORDS = 8
+
+
+def _bit(at: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+
+
+def _mapped(pairs: DataFrame) -> DataFrame:
+    """``(origin, block, w0, w1, ...)``: the numbers ``place`` that each origin has, as bits."""
+    word = F.shiftright("place", 6).bitwiseAND(F.lit(WORDS - 1))
+    bits = [F.bit_or(F.when(word == k, _bit(F.col("place"))).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(WORDS)]
+    return pairs.groupBy("origin", F.floor(F.col("place") / (64 * WORDS)).alias("block")).agg(*bits)
+
+
 def reach_pairs(edges: DataFrame, depth: int) -> DataFrame:
-    """``(origin, node, depth)`` for all origins: the same walk keyed by (origin, node); polynomial, not one row a path."""
+    """``(origin, node, depth)`` for all origins: the same walk keyed by (origin, node); polynomial, not one row a path.
+
+    Nodes are numbered, and what an origin reaches is kept as bits, a row for each block of
+    numbers with any.  A step meets the rows of an edge's end, so it makes at most a row for
+    each edge and block where pairs would be one for each edge and node behind it.
+    """
     e = materialize(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
-    front = materialize(e.select(F.col("src").alias("origin"), F.col("dst").alias("node"), F.lit(1).alias("depth")), "pairs")
-    seen = front
-    for d in range(2, depth + 1):
-        step = front.join(e.withColumnRenamed("src", "node"), "node").where("origin <> dst").select("origin", F.col("dst").alias("node")).distinct()
-        front = materialize(step.join(seen.select("origin", "node"), ["origin", "node"], "left_anti").select("origin", "node", F.lit(d).alias("depth")), "pairs")
-        if not front.limit(1).count():
+    nodes = materialize(with_rank(e.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), ["node"], "place"), "nodes")
+    words = nodes.groupBy(F.shiftright("place", 6).alias("word")).agg(F.sort_array(F.collect_list(F.struct("place", "node")))["node"].alias("nodes"))  # 64 at most
+    names = [f"w{k}" for k in range(WORDS)]
+    own = _mapped(nodes.select(F.col("node").alias("origin"), "place"))
+    front = materialize(_mapped(e.select(F.col("src").alias("origin"), F.col("dst").alias("node")).join(nodes, "node")), "level")
+    levels = [front]
+    for _ in range(2, depth + 1):
+        if front.isEmpty():
             break
-        seen = seen.unionByName(front)
-    return seen
+        met = front.withColumnRenamed("origin", "dst").join(e, "dst").select(F.col("src").alias("origin"), "block", *names, *[F.lit(0).cast("long").alias(f"old_{w}") for w in names])
+        old = reduce(DataFrame.unionByName, [own, *levels]).select("origin", "block", *[F.lit(0).cast("long").alias(w) for w in names], *[F.col(w).alias(f"old_{w}") for w in names])
+        both = met.unionByName(old).groupBy("origin", "block").agg(*[F.bit_or(c).alias(c) for w in names for c in (w, f"old_{w}")])
+        new = both.select("origin", "block", *[F.col(w).bitwiseAND(F.bitwise_not(F.col(f"old_{w}"))).alias(w) for w in names])
+        front = materialize(new.where(reduce(lambda a, b: a | b, [F.col(w) != 0 for w in names])), "level")
+        levels.append(front)
+
+    each = reduce(DataFrame.unionByName, [level.withColumn("depth", F.lit(d)) for d, level in enumerate(levels, 1)])
+    some = each.select("origin", "depth", F.col("block"), F.posexplode(F.array(*names)).alias("k", "bits")).where("bits <> 0")
+    of = some.select("origin", "depth", "bits", (F.col("block") * WORDS + F.col("k")).alias("word")).join(words, "word")
+    at = F.filter("nodes", lambda _, i: F.col("bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0)
+    return of.select("origin", F.explode(at).alias("node"), "depth")

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.operators import graph
 from lodestone.plans import registered, resolution
 from tests.test_registered import rows
 
@@ -65,6 +66,17 @@ def test_many_classes_of_one_name(spark):
     assert most <= 4 * n
 
 
+def test_walks_through_a_dense_graph(spark):
+    n = 60
+    dense = spark.range(n).select(F.col("id").alias("src")).join(spark.range(n).select((F.col("id") + 30).alias("dst")))
+    got = []
+    most = most_rows(spark, lambda: got.extend(graph.reach_pairs(dense, 3).collect()))
+    edges = {(a, b) for a in range(n) for b in range(30, n + 30) if a != b}
+    two = {(a, c) for a, b in edges for b2, c in edges if b == b2 and a != c} - edges
+    assert sorted(tuple(r) for r in got) == sorted([(a, b, 1) for a, b in edges] + [(a, b, 2) for a, b in two])
+    assert most <= 2 * len(edges)
+
+
 def odd_tables(folder, seed):
     """Orders and lines with repeated keys, repeated rows and nulls."""
     r = random.Random(seed)
