@@ -62,7 +62,11 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
 
 
 #: Longs of a row's bitmap in ``reach_pairs``: a row stands for 64 times as many nodes.
-WORDS = 8
+WORDS = 16
+#: About as many edges into a node are one row.
+INTO = 1024
+#: Rows of a level from which on the next is made in parts, one after the other, and the most parts.
+PART, PARTS = 500_000, 8
 
 
 def _bit(at: Column) -> Column:
@@ -76,32 +80,50 @@ def _mapped(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("origin", F.floor(F.col("place") / (64 * WORDS)).alias("block")).agg(*bits)
 
 
+def _stepped(front: DataFrame, seen: DataFrame, into: DataFrame, names: list[str]) -> DataFrame:
+    """What the sources of edges to ``front``'s origins reach by these and haven't in ``seen``.
+
+    Blocks don't depend on each other, so all rows of a block go to one task, each with its
+    edges as an array: a row for each edge is made there and added up, and never shuffled.
+    """
+    met = front.join(into.hint("merge"), F.col("origin") == F.col("dst")).select("block", "sources", F.lit(False).alias("old"), *names)
+    old = seen.select("block", F.array("origin").alias("sources"), F.lit(True).alias("old"), *names)
+    each = met.unionByName(old).repartition("block").select("block", F.explode("sources").alias("origin"), "old", *names)
+    summed = each.groupBy("block", "origin", "old").agg(*[F.bit_or(w).alias(w) for w in names])
+    now = [F.bit_or(F.when(~F.col("old"), F.col(w))).alias(w) for w in names]
+    before = [F.coalesce(F.bit_or(F.when(F.col("old"), F.col(w))), F.lit(0).cast("long")).alias(f"old_{w}") for w in names]
+    both = summed.groupBy("block", "origin").agg(*now, *before).where(F.col(names[0]).isNotNull())
+    new = both.select("origin", "block", *[F.col(w).bitwiseAND(F.bitwise_not(F.col(f"old_{w}"))).alias(w) for w in names])
+    return new.where(reduce(lambda a, b: a | b, [F.col(w) != 0 for w in names]))
+
+
 def reach_pairs(edges: DataFrame, depth: int) -> DataFrame:
     """``(origin, node, depth)`` for all origins: the same walk keyed by (origin, node); polynomial, not one row a path.
 
     Nodes are numbered, and what an origin reaches is kept as bits, a row for each block of
-    numbers with any.  A step meets the rows of an edge's end, so it makes at most a row for
-    each edge and block where pairs would be one for each edge and node behind it.
+    numbers with any.  A step moves each such row once, with the edges into its origin.
     """
     e = materialize(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
     nodes = materialize(with_rank(e.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), ["node"], "place"), "nodes")
     words = nodes.groupBy(F.shiftright("place", 6).alias("word")).agg(F.sort_array(F.collect_list(F.struct("place", "node")))["node"].alias("nodes"))  # 64 at most
+    of = words.groupBy(F.floor(F.col("word") / WORDS).alias("block")).agg(F.sort_array(F.collect_list(F.struct("word", "nodes")))["nodes"].alias("parts"))
     names = [f"w{k}" for k in range(WORDS)]
+    most = e.groupBy("dst").count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("most")).first()["most"]
+    chunk = F.pmod(F.xxhash64("src"), F.lit(-(-most // INTO) or 1))
+    into = materialize(e.groupBy("dst", chunk).agg(F.collect_list("src").alias("sources")).select("dst", "sources"), "into")
     own = _mapped(nodes.select(F.col("node").alias("origin"), "place"))
     front = materialize(_mapped(e.select(F.col("src").alias("origin"), F.col("dst").alias("node")).join(nodes, "node")), "level")
     levels = [front]
     for _ in range(2, depth + 1):
-        if front.isEmpty():
+        rows = front.count()
+        if not rows:
             break
-        met = front.withColumnRenamed("origin", "dst").join(e, "dst").select(F.col("src").alias("origin"), "block", *names, *[F.lit(0).cast("long").alias(f"old_{w}") for w in names])
-        old = reduce(DataFrame.unionByName, [own, *levels]).select("origin", "block", *[F.lit(0).cast("long").alias(w) for w in names], *[F.col(w).alias(f"old_{w}") for w in names])
-        both = met.unionByName(old).groupBy("origin", "block").agg(*[F.bit_or(c).alias(c) for w in names for c in (w, f"old_{w}")])
-        new = both.select("origin", "block", *[F.col(w).bitwiseAND(F.bitwise_not(F.col(f"old_{w}"))).alias(w) for w in names])
-        front = materialize(new.where(reduce(lambda a, b: a | b, [F.col(w) != 0 for w in names])), "level")
+        seen, parts = reduce(DataFrame.unionByName, [own, *levels]), max(1, min(PARTS, -(-rows // PART)))
+        shares = [[df.where(F.pmod("block", F.lit(parts)) == k) for df in (front, seen)] for k in range(parts)]
+        front = reduce(DataFrame.unionByName, [materialize(_stepped(*share, into, names), "level") for share in shares])
         levels.append(front)
 
     each = reduce(DataFrame.unionByName, [level.withColumn("depth", F.lit(d)) for d, level in enumerate(levels, 1)])
-    some = each.select("origin", "depth", F.col("block"), F.posexplode(F.array(*names)).alias("k", "bits")).where("bits <> 0")
-    of = some.select("origin", "depth", "bits", (F.col("block") * WORDS + F.col("k")).alias("word")).join(words, "word")
-    at = F.filter("nodes", lambda _, i: F.col("bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0)
-    return of.select("origin", F.explode(at).alias("node"), "depth")
+    some = each.join(of, "block").select("origin", "depth", "parts", F.posexplode(F.array(*names)).alias("k", "bits")).where("bits <> 0")
+    asked = some.select("origin", "depth", "bits", F.posexplode(F.get("parts", F.col("k"))).alias("at", "node"))
+    return asked.where(F.call_function("shiftright", F.col("bits"), F.col("at")).bitwiseAND(F.lit(1)) == 1).select("origin", "node", "depth")

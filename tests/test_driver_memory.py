@@ -1,12 +1,13 @@
-"""Tables that are small as Parquet and large as rows don't go through the driver."""
+"""What is small as Parquet and large as rows doesn't go through the driver, and walks shuffle few rows."""
 
 from pyspark.sql import functions as F
 
+from lodestone.operators import graph
 from lodestone.plans import resolution
 
 
-def broadcast_rows(spark, run):
-    """The largest number of rows that ``run``'s executions broadcast at once."""
+def metric_of(spark, run, node, name):
+    """The largest value of a metric in ``run``'s executions, of nodes of one name or of all."""
     store = spark._jsparkSession.sharedState().statusStore()
     before = store.executionsCount()
     run()
@@ -16,10 +17,10 @@ def broadcast_rows(spark, run):
         number = done.apply(k).executionId()
         values, nodes = store.executionMetrics(number), store.planGraph(number).allNodes()
         for i in range(nodes.size()):
-            metrics = nodes.apply(i).metrics() if nodes.apply(i).name() == "BroadcastExchange" else None
+            metrics = nodes.apply(i).metrics() if node in (None, nodes.apply(i).name()) else None
             for j in range(metrics.size() if metrics else 0):
                 metric = metrics.apply(j)
-                if metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                if metric.name() == name and values.contains(metric.accumulatorId()):
                     found = max(found, int(values.apply(metric.accumulatorId()).replace(",", "")))
     return found
 
@@ -32,8 +33,24 @@ def test_what_files_inherit_is_not_broadcast(spark):
     imports, got = spark.createDataFrame([], "importer_file_id string, imported_id string"), []
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
     try:
-        most = broadcast_rows(spark, lambda: got.extend(len(df.collect()) for df in resolution.resolve_inheritance(raw, symbol, imports)))
+        most = metric_of(spark, lambda: got.extend(len(df.collect()) for df in resolution.resolve_inheritance(raw, symbol, imports)), "BroadcastExchange", "number of output rows")
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert got == [n, n]  # two classes of each name, a hundred parents each
     assert most < 1000
+
+
+def test_walks_do_not_shuffle_a_row_for_each_edge_and_block(spark):
+    n, degree, held = 1500, 20, {}
+    ring = spark.range(n).select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(1), F.lit(degree))).alias("k")).select("src", F.pmod(F.col("src") + F.col("k") * 37, F.lit(n)).alias("dst"))
+    for name, value in (("spark.sql.shuffle.partitions", "32"), ("spark.sql.adaptive.coalescePartitions.enabled", "false"), ("spark.sql.autoBroadcastJoinThreshold", "-1")):
+        held[name] = spark.conf.get(name)
+        spark.conf.set(name, value)
+    got = []
+    try:
+        moved = metric_of(spark, lambda: got.append(graph.reach_pairs(ring, 2).groupBy("depth").count().collect()), None, "shuffle records written")
+    finally:
+        for name, value in held.items():
+            spark.conf.set(name, value)
+    assert {r["depth"]: r["count"] for r in got[0]} == {1: n * degree, 2: n * degree}  # steps of 1 to 20, then of 21 to 40
+    assert moved <= 1.2 * n * degree
